@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillon.llm import decontaminate, embedding_dedup, packing, secrets, token_counts, url_filter, warc
+from quillon.llm import decontaminate, embedding_dedup, language, packing, quality, secrets, token_counts, url_filter, warc
 from quillon.llm._common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,3 +104,23 @@ GROUP BY ALL
 @query
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read(spark, sf_dir, "documents"), path="source")
+
+
+def fold(column: str, parts: int) -> Column:
+    """crc32 of the id as text, modulo the number of folds."""
+    return F.crc32(F.col(column).cast("string").cast("binary")) % parts
+
+
+@query
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    net = quality.learn(docs, read(spark, sf_dir, "labels"), "quality", only=fold("doc_id", 5) != 0)
+    told = quality.score(docs, net)
+    return told.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    samples = language.learn(docs, only=fold("doc_id", 4) != 2)
+    return language.identify(docs, samples, keep=["doc_id"]).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
