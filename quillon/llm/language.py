@@ -20,6 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -212,3 +213,18 @@ def identify(docs: DataFrame, samples: tuple[tuple[str, str], ...], text: str =
         return pa.record_batch([*(batch.column(k) for k in range(len(names))), pa.array(found[0], pa.string()), pa.array(found[1], pa.float64()), pa.array(found[2], pa.float64())], names=[*names, "lang_pred", "score", "bits"])
 
     return map_arrow(docs.select(*names, F.col(text).alias("_text")), over, "".join(f"`{n}` {kinds[n]}, " for n in names) + "lang_pred string, score double, bits double")
+
+
+def keep_identified(docs: DataFrame, samples: tuple[tuple[str, str], ...], text: str = "text", lang: str = "lang") -> DataFrame:
+    """The documents, whole rows, whose language could be told; a null language becomes the one predicted."""
+    place, filled = docs.columns.index(text), docs.columns.index(lang) if lang in docs.columns else None
+    told = docs.sparkSession.sparkContext.broadcast(samples)
+
+    def over(batch: pa.RecordBatch) -> pa.RecordBatch:
+        names, _, _ = languages(told.value).identify(batch.column(place).to_pylist())
+        found = pa.array(names, pa.string())
+        if filled is not None:
+            batch = batch.set_column(filled, lang, pc.coalesce(batch.column(filled), found))
+        return batch.filter(pc.not_equal(found, NONE))
+
+    return map_arrow(docs, over, docs.schema)

@@ -319,3 +319,16 @@ def join(docs: DataFrame, percent: int = PERCENT, text: str = "text", key: str =
     label = classes.select("cls", "id").join(found, "cls", "left").join(least, "grp", "left").select("cls", F.coalesce("component", "id").alias("component_id"))
     out = told.select(key, F.col("n").alias("n_shingles"), "cls").join(label, "cls", "left")
     return out.select(key, "n_shingles", F.coalesce("component_id", key).alias("component_id"))
+
+
+def keep_first(docs: DataFrame, percent: int = PERCENT, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The documents, whole rows, less all but one of each component: the row of its smallest key, and one row of those that share a key."""
+    told = join(docs, percent, text, key)
+    dropped = written(told.where(F.col(key) != F.col("component_id")).select(key).distinct(), "dropped")
+    kept = docs.join(small(dropped, 32), key, "left_anti")
+    twice = written(docs.groupBy(key).count().where(F.col("count") > 1).where(F.col(key).isNotNull()).select(key), "twice")
+    if twice.isEmpty():
+        return kept.select(docs.columns)
+    few = small(twice, 32)
+    one = kept.join(few, key, "left_semi").select(docs.columns).dropDuplicates([key])
+    return kept.join(few, key, "left_anti").select(docs.columns).unionByName(one)

@@ -1,0 +1,63 @@
+import re
+import zlib
+
+import numpy as np
+
+import corpus_pipeline
+from quillon.llm import language
+from quillon.llm._common import read
+from tests.llm.test_decontaminate import brute as leaks
+from tests.llm.test_ngram_join import brute as copies
+from tests.llm.test_packing import ids
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_each_stage_against_a_plain_version(spark, tmp_path):
+    hex40 = "1beb58b8af68854f0e01b4ad40cdbb6ae7f578ae"
+    extra = [(9001, None, "en", "s", 0), (9002, "12 !", "en", "s", 0), (9003, "", "en", "s", 0), (9004, "the the and the this is the of", None, "s", 0), (9005, f'Thereon the and token = "{hex40}" is.', "en", "s", 0)]
+    own = read(spark, SF, "documents")
+    docs = own.unionByName(spark.createDataFrame(extra, own.schema)).unionByName(spark.createDataFrame(extra[-1:], own.schema))
+    steps = []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, SF)
+        if k < 4:
+            assert out.columns == own.columns
+        out.write.parquet(f"{tmp_path}/{k}")
+        steps.append((docs, docs := spark.read.parquet(f"{tmp_path}/{k}")))
+
+    before, after = (x.collect() for x in steps[0])
+    tables = language.Languages(dict(language.learn(steps[0][0])))
+    told = tables.identify([r.text for r in before])[0]
+    want = sorted((r.doc_id, r.text, r.lang or p) for r, p in zip(before, told, strict=True) if p != "und")
+    assert sorted((r.doc_id, r.text, r.lang) for r in after) == want and len(want) == len(before) - 3
+
+    before, after = (x.collect() for x in steps[1])
+    first = {i for i, _, c in copies([(r.doc_id, r.text) for r in before]) if i == c}
+    assert sorted(r.doc_id for r in after) == sorted(first) and set(after) <= set(before)
+
+    before, after = (x.collect() for x in steps[2])
+    items = [tuple(r) for r in read(spark, SF, "benchmark").collect()]
+    assert sorted(after) == sorted(r for r in before if not leaks(r.text, items)[1]) and len(after) < len(before)
+
+    before, after = ({r.doc_id: r for r in x.collect()} for x in steps[3])
+    assert before.keys() == after.keys() and after[9005].text == 'Thereon the and token = "[SECRET]" is.'
+    for i, r in after.items():
+        assert r.n_chars == len(r.text)
+        if r.text != before[i].text:
+            pattern = re.escape(r.text).replace(re.escape("[SECRET]"), r"\S+")
+            assert re.fullmatch(pattern, before[i].text) and "[SECRET]" in r.text
+    assert not any(re.search(r"token = \"[0-9a-f]{40}|AKIA[0-9A-Z]{16}|password=[0-9a-f]{12}", r.text) for r in after.values())
+
+    pieces = steps[4][1].toPandas()
+    for i, r in after.items():
+        mine = pieces[pieces.doc_id == i].sort_values("start")
+        told = ids(r.text)
+        assert mine.length.sum() == len(told)
+        assert [zlib.crc32(np.array(told[p.start : p.start + p.length], "<u4").tobytes()) for p in mine.itertuples()] == mine.ids_crc32.tolist()
+    assert pieces.groupby("sequence_id").length.sum().max() <= 4096 and pieces.doc_id.nunique() == len(after)
+
+
+def test_run(spark):
+    out = corpus_pipeline.run(spark, SF)
+    assert out.count() > 50 and "sequence_id" in out.columns
