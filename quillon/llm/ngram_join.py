@@ -159,8 +159,8 @@ def describe(docs: DataFrame, text: str, key: str) -> DataFrame:
 def frequent_of(rows: DataFrame, frequent: int) -> np.ndarray:
     """The tokens of more than so many rows (cls, token) and of several classes, the most frequent ones if there are too many; sorted."""
     counted = rows.groupBy("token").agg(F.count("*").alias("c"), F.min("cls").alias("lo"), F.max("cls").alias("hi")).where(f"c > {frequent} and lo < hi")
-    got = counted.orderBy(F.desc("c"), "token").limit(MOST_FREQUENT).select("token").toPandas()["token"].to_numpy(np.int64)
-    return np.sort(got.view(np.uint64))
+    got = counted.orderBy(F.desc("c"), "token").limit(MOST_FREQUENT).select("token").toArrow()["token"].to_numpy()
+    return np.sort(got.astype(np.int64).view(np.uint64))
 
 
 def find_frequent(docs: DataFrame, told: DataFrame, text: str, frequent: int) -> np.ndarray:
@@ -227,9 +227,9 @@ def filter_of(tokens: DataFrame, count: int) -> tuple[np.ndarray, int] | None:
     if bits > FILTER_BITS:
         return None
     place = F.explode(F.array(F.col("token").bitwiseAND(bits - 1), F.expr("shiftrightunsigned(token, 32)").bitwiseAND(bits - 1)))
-    got = tokens.select(place.alias("p")).groupBy(F.expr("shiftright(p, 5)").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 31 as int))")).alias("b")).toPandas()
+    got = tokens.select(place.alias("p")).groupBy(F.expr("shiftright(p, 5)").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 31 as int))")).alias("b")).toArrow()
     words = np.zeros(max(1, bits // 32), np.uint32)
-    words[got["w"].to_numpy(np.int64)] = got["b"].to_numpy(np.int64).astype(np.uint32)
+    words[got["w"].to_numpy().astype(np.int64)] = got["b"].to_numpy().astype(np.uint32)
     return words, bits
 
 
