@@ -6,11 +6,13 @@ collisions of 64-bit hashes) by these steps:
 1. Tokens have one order for all documents: by hash, but those of many documents last. Of similar sets the first
    n - ceil(t * n) + NEED tokens share at least NEED, so only these prefixes are indexed. Which tokens count as
    frequent changes the work, not the result.
-2. Tokens that only one class has are dropped. Each class is compared with the one that leads most of its tokens;
-   classes connected so far form a group of similar documents.
+2. Tokens that only one class has are dropped. Each class goes to the group of the class that leads most of its tokens,
+   the one whose tokens are held by most classes. It is compared with this leader, and in further rounds with
+   leaders by other orders, so that most near copies are connected by a few comparisons each.
 3. The token-group matrix holds the union of each group's tokens. A class meets a group in as many tokens as both
-   hold, which bounds its overlap with each member; only groups that reach the bound are opened, and of their
-   members only those that reach it are compared with the class by their whole texts.
+   hold, which bounds its overlap with each member. Only groups that reach the bound are opened: blocks of classes
+   are compared with blocks of members by their whole texts, unless both are connected already, and a block
+   returns no more links than connect it.
 4. Components of the links found are the result.
 
 Defined results: null and empty texts, and texts of white space, have no shingles and are their own component; texts
@@ -33,11 +35,15 @@ from quillon.llm._common import components, map_arrow, small, written
 
 SIZE, PERCENT = 5, 75
 #: Tokens that prefixes of similar sets share at least (where the sets are large enough).
-NEED = 3
+NEED = 6
 #: A token of more documents counts as frequent; so many tokens may at most.
 FREQUENT, MOST_FREQUENT = 50, 1 << 20
-#: Frequent tokens are first looked for among one in this many, and then within so many places of those.
-ONE_IN, NEAR = 16, 48
+#: Frequent tokens are looked for in prefixes by hash, and then within so many places of those found.
+NEAR = 48
+#: Rounds in which groups are formed, at most.
+ROUNDS = 3
+#: Classes on a side of a block.
+SIDE = 256
 #: Bits of the filter of tokens that several classes share, at most.
 FILTER_BITS = 1 << 28
 #: Bytes of text that are read at once.
@@ -140,32 +146,31 @@ def signed(x: np.ndarray) -> pa.Array:
 
 
 def describe(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """(key, n, cls, low): size and class of each document's set, and one in ONE_IN of its tokens."""
+    """(key, n, cls): size and class of each document's set."""
     kind = dict(docs.dtypes)[key]
 
     def over(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sizes, classes, low = [], [], []
+        sizes, classes = [], []
         for _, texts in slices(batch.column(1)):
             for s in texts:
                 s = np.unique(s)
                 sizes.append(len(s))
                 classes.append(class_of(s) if len(s) else None)
-                low.append(s[: np.searchsorted(s, np.uint64((1 << 64) // ONE_IN))].view(np.int64))
-        return pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(low, pa.list_(pa.int64()))], names=[key, "n", "cls", "low"])
+        return pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64())], names=[key, "n", "cls"])
 
-    return map_arrow(docs.select(key, text), over, f"{key} {kind}, n long, cls long, low array<long>")
+    return map_arrow(docs.select(key, text), over, f"{key} {kind}, n long, cls long")
 
 
-def frequent_of(rows: DataFrame, frequent: int) -> np.ndarray:
-    """The tokens of more than so many rows (cls, token) and of several classes, the most frequent ones if there are too many; sorted."""
-    counted = rows.groupBy("token").agg(F.count("*").alias("c"), F.min("cls").alias("lo"), F.max("cls").alias("hi")).where(f"c > {frequent} and lo < hi")
-    got = counted.orderBy(F.desc("c"), "token").limit(MOST_FREQUENT).select("token").toArrow()["token"].to_numpy()
+def most_frequent(counted: DataFrame, frequent: int) -> np.ndarray:
+    """The tokens of more than so many rows (token, c), the most frequent ones if there are too many; sorted."""
+    got = counted.where(F.col("c") > frequent).orderBy(F.desc("c"), "token").limit(MOST_FREQUENT).select("token").toArrow()["token"].to_numpy()
     return np.sort(got.astype(np.int64).view(np.uint64))
 
 
-def find_frequent(docs: DataFrame, told: DataFrame, text: str, frequent: int) -> np.ndarray:
-    """Frequent tokens: those among one in ONE_IN, and of the tokens near them in texts (passages are frequent as a whole)."""
-    seeds = frequent_of(told.where("n > 0").select("cls", F.explode("low").alias("token")), frequent)
+def find_frequent(docs: DataFrame, text: str, frequent: int, percent: int, need: int) -> np.ndarray:
+    """Frequent tokens of several classes: those in prefixes by hash, and of the tokens near them in texts (passages are frequent as a whole)."""
+    by_hash = prefixes(docs, text, np.zeros(0, np.uint64), percent, need).select("token")
+    seeds = most_frequent(by_hash.groupBy("token").agg(F.count("*").alias("c")), frequent)
     if not len(seeds):
         return seeds
     held = docs.sparkSession.sparkContext.broadcast(seeds)
@@ -186,7 +191,8 @@ def find_frequent(docs: DataFrame, told: DataFrame, text: str, frequent: int) ->
             if tokens:
                 yield pa.record_batch([pa.array(np.concatenate(classes)), signed(np.concatenate(tokens))], names=["cls", "token"])
 
-    return frequent_of(map_arrow(docs.select(text), over, "cls long, token long"), frequent)
+    near = map_arrow(docs.select(text), over, "cls long, token long")
+    return most_frequent(near.groupBy("token").agg(F.count("*").alias("c"), F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi"), frequent)
 
 
 def probes(tokens: np.ndarray, bits: int) -> Iterator[np.ndarray]:
@@ -234,12 +240,12 @@ def filter_of(tokens: DataFrame, count: int) -> tuple[np.ndarray, int] | None:
 
 
 def shared_tokens(docs: DataFrame, text: str, frequent: np.ndarray, percent: int, need: int) -> DataFrame:
-    """(token, cls, lead) of prefix tokens that several classes have; lead is the smallest of these."""
+    """(token, cls) of prefix tokens that several classes have."""
     every = prefixes(docs, text, frequent, percent, need)
-    shared = written(every.groupBy("token").agg(F.min("cls").alias("lead"), F.max("cls").alias("hi")).where("lead < hi").select("token", "lead"), "shared")
+    shared = written(every.groupBy("token").agg(F.min("cls").alias("lead"), F.max("cls").alias("hi")).where("lead < hi").select("token"), "shared")
     # the rows of shared tokens are few: a second reading passes them through a filter instead of shuffling all
     own = prefixes(docs, text, frequent, percent, need, filter_of(shared, shared.count()))
-    return written(own.distinct().join(shared, "token").select("token", "cls", "lead"), "matrix")
+    return own.distinct().join(shared, "token").select("token", "cls")
 
 
 def needed(a: Column, b: Column, percent: int, need: int) -> Column:
@@ -256,14 +262,8 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str, k
     """The pairs (a, b) of classes whose sets are similar, decided on whole texts."""
     pairs = written(pairs, "pairs")
     ends = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    wanted = written(ends.join(classes, "cls").select("cls", F.col("id").alias("_id")), "wanted")
-    texts = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text")).join(small(wanted, 40), "_id")
-
-    def same(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own = [class_of(np.unique(s)) if len(s) else None for _, some in slices(batch.column(1)) for s in some]
-        return batch.filter(pc.equal(batch.column(0), pa.array(own, pa.int64())))
-
-    texts = written(map_arrow(texts.select("cls", "_text"), same, "cls long, _text string"), "texts").dropDuplicates(["cls"])
+    wanted = written(ends.join(classes, "cls").select("cls", "id"), "wanted")
+    texts = texts_of(wanted, docs, text, key)
     left, right = texts.select(F.col("cls").alias("a"), F.col("_text").alias("x")), texts.select(F.col("cls").alias("b"), F.col("_text").alias("y"))
     both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y")
 
@@ -279,41 +279,147 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str, k
     return written(map_arrow(both, compare, "a long, b long"), "linked")
 
 
-def groups(links: DataFrame) -> DataFrame:
-    return components(links, "groups").select(F.col("node").alias("cls"), F.col("component").alias("grp"))
+def first_tokens(n: Column, percent: int, need: int) -> Column:
+    """The size of a prefix."""
+    return F.least(n, n - F.ceil(n * percent / 100) + need)
+
+
+def of_several(rows: DataFrame, name: str) -> DataFrame:
+    """The rows (token, cls, n, grp) of tokens that several groups have, as a written table."""
+    several = rows.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi").select("token")
+    return written(rows.join(several, "token"), name)
+
+
+def leaders(rows: DataFrame, order: Column, percent: int, need: int) -> DataFrame:
+    """(a, b, p, q, strong): each class with the leader of most of its tokens, at least a fifth of a prefix, and the groups of both; strong: at least half. Leaders come first by an order."""
+    lead = rows.groupBy("token").agg(F.max(F.struct(order.alias("o"), "cls", "grp", "n")).alias("l"))
+    led = rows.join(lead.select("token", F.col("l.cls").alias("lead"), F.col("l.grp").alias("other"), F.col("l.n").alias("m")), "token").where("grp <> other")
+    led = led.groupBy("cls", "n", "grp", "lead", "m", "other").agg(F.count("*").alias("c")).where(alike(F.col("n"), F.col("m"), percent))
+    size = first_tokens(F.least("n", "m"), percent, need)
+    led = led.where((F.col("c") * 5 >= size) & (F.col("c") >= needed(F.col("n"), F.col("m"), percent, need))).withColumn("strong", F.col("c") * 2 >= size)
+    best = led.groupBy("cls").agg(F.max(F.struct("c", "lead", "grp", "other", "strong")).alias("b"))
+    return written(best.select(F.col("cls").alias("a"), F.col("b.lead").alias("b"), F.col("b.grp").alias("p"), F.col("b.other").alias("q"), F.col("b.strong").alias("strong")), "led")
+
+
+def form_groups(rows: DataFrame, classes: DataFrame, docs: DataFrame, text: str, key: str, percent: int, need: int) -> tuple[DataFrame, DataFrame | None]:
+    """(rows with hub, the class whose group theirs is, and grp, what is connected so far; links found)."""
+    held = rows.groupBy("token").agg(F.count("*").alias("c"))
+    weight = rows.join(held, "token").groupBy("cls").agg(F.sum("c").alias("weight"))
+    rows = written(rows.join(weight, "cls"), "weighed")
+    found = hubs = None
+    for k in range(ROUNDS):
+        best = leaders(rows, F.xxhash64("cls", F.lit(k)) if k else F.col("weight"), percent, need)
+        if hubs is None:
+            hubs = best.select(F.col("a").alias("cls"), F.col("b").alias("hub"))
+        links = verified(best.where("strong").select("a", "b"), classes, docs, text, key, percent)
+        if links.isEmpty():
+            break
+        found = links if found is None else found.unionByName(links)
+        merged = components(best.join(links, ["a", "b"]).select(F.col("p").alias("a"), F.col("q").alias("b")), "merged")
+        rows = rows.join(merged, F.col("grp") == F.col("node"), "left").select("token", "cls", "n", "weight", F.coalesce("component", "grp").alias("grp"))
+        rows = of_several(rows, "grouped")
+    return written(rows.join(hubs, "cls", "left").select("token", "cls", "n", "grp", F.coalesce("hub", "cls").alias("hub")), "hubs"), found
+
+
+def texts_of(wanted: DataFrame, docs: DataFrame, text: str, key: str) -> DataFrame:
+    """(cls, _text) of the classes wanted (cls, id), as a written table; a row of the id whose text has another class is left out."""
+    ids = small(wanted.select("cls", F.col("id").alias("_id")), 40)
+
+    def same(batch: pa.RecordBatch) -> pa.RecordBatch:
+        own = [class_of(np.unique(s)) if len(s) else None for _, some in slices(batch.column(1)) for s in some]
+        return batch.filter(pc.equal(batch.column(0), pa.array(own, pa.int64())))
+
+    found = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text")).join(ids, "_id")
+    return written(map_arrow(found.select("cls", "_text"), same, "cls long, _text string").dropDuplicates(["cls"]), "texts")
+
+
+def compared(left: list[tuple], right: list[tuple], percent: int) -> list[tuple[int, int]]:
+    """Links that connect what is similar between two blocks of (cls, grp, set); what is connected already isn't compared."""
+    parent = {g: g for _, g, _ in left + right}
+
+    def root(g: int) -> int:
+        while parent[g] != g:
+            parent[g] = parent[parent[g]]
+            g = parent[g]
+        return g
+
+    sizes = np.array([len(s) for _, _, s in right])
+    tokens = np.concatenate([s for _, _, s in right])
+    owner = np.repeat(np.arange(len(right)), sizes)
+    order = np.argsort(tokens, kind="stable")
+    tokens, owner = tokens[order], owner[order]
+    out = []
+    for cls, grp, own in left:
+        mine = root(grp)
+        if all(root(g) == mine for _, g, _ in right):
+            continue
+        low, high = np.searchsorted(tokens, own, "left"), np.searchsorted(tokens, own, "right")
+        reach = high - low
+        at = np.repeat(low - np.cumsum(reach) + reach, reach) + np.arange(reach.sum())
+        met = np.bincount(owner[at], minlength=len(right))
+        for k in np.flatnonzero(100 * met >= percent * (len(own) + sizes - met)).tolist():
+            other = root(right[k][1])
+            if right[k][0] != cls and other != mine:
+                parent[other] = mine
+                out.append((cls, right[k][0]))
+    return out
+
+
+def open_groups(opened: DataFrame, members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between the classes of opened (cls, grp, hub) and the members (cls, grp, hub) of these groups.
+
+    Both sides are dealt to blocks of about SIDE classes by hash, and each block of one side meets each of the other,
+    so no task holds a whole group.
+    """
+    sizes = members.groupBy("hub").agg(F.ceil(F.count("*") / SIDE).alias("wide")).join(opened.groupBy("hub").agg(F.ceil(F.count("*") / SIDE).alias("high")), "hub")
+    sizes = written(sizes, "sizes")
+    own = lambda n: F.pmod(F.xxhash64("cls"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = opened.join(sizes, "hub").select("cls", "grp", "hub", own("high").alias("i"), every("wide").alias("j"), F.lit(0).alias("side"))
+    right = members.join(sizes, "hub").select("cls", "grp", "hub", every("high").alias("i"), own("wide").alias("j"), F.lit(1).alias("side"))
+    dealt = left.unionByName(right).join(texts, "cls").repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "side")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, sides = None, ([], [])
+
+        def links() -> list[tuple[int, int]]:
+            return compared(*sides, percent) if sides[0] and sides[1] else []
+
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            sets = (np.unique(s) for _, some in slices(batch.column(6)) for s in some)
+            for cls, grp, hub, i, j, side, own in zip(*(batch.column(k).to_pylist() for k in range(6)), sets, strict=True):
+                if (hub, i, j) != block:
+                    out += links()
+                    block, sides = (hub, i, j), ([], [])
+                sides[side].append((cls, grp, own))
+            yield pa.record_batch([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
+        out = links()
+        yield pa.record_batch([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
+
+    return written(dealt.select("cls", "grp", "hub", "i", "j", "side", "_text").mapInArrow(compare, "a long, b long"), "opened_links")
 
 
 def join(docs: DataFrame, percent: int = PERCENT, text: str = "text", key: str = "doc_id", need: int = NEED, frequent: int = FREQUENT) -> DataFrame:
     """One row for each document: n_shingles and component_id, the smallest key reachable by links."""
     told = written(describe(docs, text, key), "described")
     classes = written(told.where("n > 0").groupBy("cls").agg(F.min(key).alias("id"), F.first("n").alias("n")), "classes")
-    rows = shared_tokens(docs, text, find_frequent(docs, told, text, frequent), percent, need)
-    sized = rows.join(classes.select("cls", "n"), "cls")
-
-    # each class with the leader of most of its tokens
-    led = rows.where("cls <> lead").groupBy("cls", "lead").agg(F.count("*").alias("c"))
-    led = led.join(classes.select("cls", "n"), "cls").join(classes.select(F.col("cls").alias("lead"), F.col("n").alias("m")), "lead")
-    led = led.where(alike(F.col("n"), F.col("m"), percent) & (F.col("c") >= needed(F.col("n"), F.col("m"), percent, need)))
-    best = led.groupBy("cls").agg(F.max(F.struct("c", (-F.col("lead").cast("decimal(20,0)")).alias("o"), "lead")).alias("best")).select(F.col("cls").alias("a"), F.col("best.lead").alias("b"))
-    links = verified(best, classes, docs, text, key, percent)
-
-    # the token-group matrix, and the groups that each class's tokens reach
-    grouped = sized.join(groups(links), "cls", "left").select("token", "cls", "n", F.coalesce("grp", "cls").alias("grp"))
-    several = grouped.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi").select("token")
-    grouped = written(grouped.join(several, "token"), "grouped")
-    matrix = grouped.groupBy("token", "grp").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    ranges = grouped.groupBy("grp").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    met = grouped.alias("q").join(matrix.select("token", F.col("grp").alias("g")).alias("m"), (F.col("q.token") == F.col("m.token")) & (F.col("q.grp") < F.col("m.g")))
-    met = met.groupBy(F.col("q.cls").alias("cls"), F.col("q.n").alias("n"), F.col("m.g").alias("grp")).agg(F.count("*").alias("c"))
-    opened = met.join(ranges, "grp").where((F.col("c") >= needed(F.col("n"), F.col("least"), percent, need)) & (F.col("most") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("least") * percent))
-    opened = written(opened.select("cls", "grp"), "opened")
-    query = grouped.select("token", "cls", "n").join(opened, "cls")
-    member = grouped.select("token", "grp", F.col("cls").alias("other"), F.col("n").alias("m"))
-    pairs = query.join(member, ["token", "grp"]).where(alike(F.col("n"), F.col("m"), percent))
-    pairs = pairs.groupBy("cls", "n", "other", "m").agg(F.count("*").alias("c")).where(F.col("c") >= needed(F.col("n"), F.col("m"), percent, need))
-    more = verified(pairs.select(F.col("cls").alias("a"), F.col("other").alias("b")), classes, docs, text, key, percent)
-
-    found = groups(links.unionByName(more))
+    rows = shared_tokens(docs, text, find_frequent(docs, text, frequent, percent, need), percent, need)
+    rows = rows.join(classes.select("cls", "n"), "cls").select("token", "cls", "n", F.col("cls").alias("grp"))
+    grouped, links = form_groups(rows, classes, docs, text, key, percent, need)
+
+    # the token-group matrix, and the groups that each class's tokens reach; a pair is met from the side of the smaller hub
+    matrix = grouped.select("token", F.col("hub").alias("g")).distinct()
+    members = written(grouped.select("cls", "n", "grp", "hub").distinct(), "members")
+    ranges = members.groupBy(F.col("hub").alias("g")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("grp").alias("lo"), F.max("grp").alias("hi"))
+    met = grouped.join(matrix, "token").where("hub <= g").groupBy("cls", "n", "grp", "g").agg(F.count("*").alias("c")).join(ranges, "g")
+    met = met.where((F.col("c") >= needed(F.col("n"), F.col("least"), percent, need)) & (F.col("most") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("least") * percent))
+    opened = written(met.where("lo <> grp or hi <> grp").select("cls", "grp", F.col("g").alias("hub")), "opened")
+    groups = members.join(opened.select("hub").distinct(), "hub").select("cls", "grp", "hub")
+    wanted = opened.select("cls").unionByName(groups.select("cls")).distinct().join(classes.select("cls", "id"), "cls")
+    more = open_groups(opened, groups, texts_of(written(wanted, "wanted"), docs, text, key), percent)
+
+    found = components(links.unionByName(more) if links is not None else more, "groups").select(F.col("node").alias("cls"), F.col("component").alias("grp"))
     named = found.join(classes.select("cls", "id"), "cls")
     least = named.groupBy("grp").agg(F.min("id").alias("component"))
     label = classes.select("cls", "id").join(found, "cls", "left").join(least, "grp", "left").select("cls", F.coalesce("component", "id").alias("component_id"))
