@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import parse
 
+#: The files of an export and their columns.
 MEMBERS = ("ratings", "diary", "watched", "watchlist", "reviews")
 FIELDS = {"Date": "date", "Name": "name", "Year": "year", "Letterboxd URI": "uri", "Rating": "rating", "Rewatch": "rewatch", "Watched Date": "watched", "Review": "review"}
 RAW = "user string, source string, line long, " + ", ".join(f"{f} string" for f in FIELDS.values())

@@ -73,7 +73,7 @@ def token_bucket(events: DataFrame, key: str, id_: str, time: str, rate: float =
         state.update((float(tokens), float(last)))
         yield pd.DataFrame(out, columns=["key", "id", "admitted", "tokens"])
 
-    slim = events.select(F.col(key).cast("long").alias("key"), F.col(id_).cast("long").alias("id"), F.unix_micros(time).cast("double").alias("t")).withColumn("t", F.col("t") / 1e6)
+    slim = events.select(F.col(key).cast("long").alias("key"), F.col(id_).cast("long").alias("id"), F.unix_micros(F.col(time).cast("timestamp")).cast("double").alias("t")).withColumn("t", F.col("t") / 1e6)
     return slim.groupBy("key").applyInPandasWithState(admit, BUCKET, "tokens double, last double", "append", GroupStateTimeout.NoTimeout)
 
 
