@@ -43,26 +43,33 @@ def catalogue_days(spark, sf):
     return E.catalogue_days(T.history(spark, sf, "customer")).withColumn("watched_at", F.col("watched_at").cast("string"))
 
 
-SPLIT = """, placed AS (SELECT user, watched_at, row_number() OVER (PARTITION BY user ORDER BY watched_at, item) - 1 AS p, count(*) OVER (PARTITION BY user) - 1 AS last FROM hist
-), marks AS (SELECT user, fold, watched_at AS t_split FROM placed, (VALUES (0, 0.5), (1, 0.7), (2, 0.85)) c(fold, cut) WHERE p = CAST(round_even(cut * last, 0) AS BIGINT)
-), folds AS (SELECT user, fold, t_split, coalesce(lead(t_split) OVER (PARTITION BY user ORDER BY fold), e) AS t_end FROM marks JOIN (SELECT user, max(watched_at) AS e FROM hist GROUP BY 1) USING (user)
+SPLIT = """, days AS (SELECT user, watched_at FROM (SELECT user, watched_at, count(*) AS n FROM hist GROUP BY ALL) JOIN (SELECT user, count(*) AS a FROM hist GROUP BY 1) USING (user) WHERE n > 0.02 * a
+), rel AS (SELECT * FROM hist ANTI JOIN days USING (user, watched_at)
+), placed AS (SELECT user, watched_at, row_number() OVER (PARTITION BY user ORDER BY watched_at, item) - 1 AS p, count(*) OVER (PARTITION BY user) - 1 AS last FROM rel
+), marks AS (SELECT user, fold, watched_at AS t_split FROM placed, (VALUES (0, 0.5), (1, 0.7), (2, 0.85)) c(fold, cut) WHERE p = CAST(round_even(CAST(cut AS DOUBLE) * last, 0) AS BIGINT)
+), folds AS (SELECT user, fold, t_split, coalesce(lead(t_split) OVER (PARTITION BY user ORDER BY fold), e) AS t_end FROM marks JOIN (SELECT user, max(watched_at) AS e FROM rel GROUP BY 1) USING (user)
 ), sides AS (
-  SELECT user, fold, item, watched_at, CASE WHEN watched_at <= t_split THEN NULL WHEN watched_at > t_end THEN 'after_window' WHEN rewatch THEN 'rewatch_dup' WHEN item NOT IN (SELECT item FROM items WHERE runtime >= 3) THEN 'not_in_corpus' END AS reason,
-    CASE WHEN watched_at <= t_split THEN 'train' WHEN watched_at > t_end OR rewatch OR item NOT IN (SELECT item FROM items WHERE runtime >= 3) THEN 'excluded' ELSE 'test' END AS side FROM hist JOIN folds USING (user)
+  SELECT user, fold, item, watched_at, CASE WHEN flag THEN 'catalogue_day' WHEN watched_at <= t_split THEN NULL WHEN watched_at > t_end THEN 'after_window' WHEN rewatch THEN 'rewatch_dup' WHEN item NOT IN (SELECT item FROM items WHERE runtime >= 3) THEN 'not_in_corpus' END AS reason,
+    CASE WHEN flag THEN 'inner' WHEN watched_at <= t_split THEN 'train' WHEN watched_at > t_end OR rewatch OR item NOT IN (SELECT item FROM items WHERE runtime >= 3) THEN 'excluded' ELSE 'test' END AS side FROM hist JOIN folds USING (user) LEFT JOIN (SELECT user, watched_at, true AS flag FROM days) USING (user, watched_at)
 ), assigned AS (
-  SELECT user, fold, item, CASE WHEN side = 'train' THEN CASE WHEN row_number() OVER w <= greatest(1, round_even(0.8 * count(*) OVER (PARTITION BY user, fold, side), 0)) THEN 'inner' ELSE 'val' END ELSE side END AS bucket, reason
+  SELECT user, fold, item, CASE WHEN side = 'train' THEN CASE WHEN row_number() OVER w <= greatest(1, round_even(CAST(0.8 AS DOUBLE) * count(*) OVER (PARTITION BY user, fold, side), 0)) THEN 'inner' ELSE 'val' END ELSE side END AS bucket, reason
   FROM sides WINDOW w AS (PARTITION BY user, fold, side ORDER BY watched_at, item)
 )"""
 
 
+def reliable(history: DataFrame) -> DataFrame:
+    """Rows off every catalogue day."""
+    return history.join(E.catalogue_days(history).where("flagged").select("user", "watched_at"), ["user", "watched_at"], "left_anti")
+
+
 @query("ev3_fold_windows", T.SQL + SPLIT + " SELECT user, fold, CAST(t_split AS VARCHAR) AS t_split, CAST(t_end AS VARCHAR) AS t_end FROM folds")
 def folds(spark, sf):
-    return E.fold_cuts(T.history(spark, sf), CUTS).select("user", "fold", F.col("t_split").cast("string").alias("t_split"), F.col("t_end").cast("string").alias("t_end"))
+    return E.fold_cuts(reliable(T.history(spark, sf)), CUTS).select("user", "fold", F.col("t_split").cast("string").alias("t_split"), F.col("t_end").cast("string").alias("t_end"))
 
 
 def assigned(spark, sf) -> DataFrame:
     h = T.history(spark, sf)
-    return E.assignment(h, E.fold_cuts(h, CUTS), E.catalogue_days(h), T.items(spark, sf).where("runtime >= 3"))
+    return E.assignment(h, E.fold_cuts(reliable(h), CUTS), E.catalogue_days(h), T.items(spark, sf).where("runtime >= 3"))
 
 
 @query("ev4_fold_assignment", T.SQL + SPLIT + " SELECT user, fold, item, bucket, reason FROM assigned")
