@@ -7,8 +7,8 @@ collisions of 64-bit hashes) by these steps:
    n - ceil(t * n) + NEED tokens share at least NEED, so only these prefixes are indexed. Which tokens count as
    frequent changes the work, not the result.
 2. Tokens that only one class has are dropped. Each class goes to the group of the class that leads most of its tokens,
-   the one whose tokens are held by most classes. It is compared with this leader, and in further rounds with
-   leaders by other orders, so that most near copies are connected by a few comparisons each.
+   the one whose tokens are held by most classes. It is compared with this leader, so that most near copies
+   are connected by one comparison each.
 3. The token-group matrix holds the union of each group's tokens. A class meets a group in as many tokens as both
    hold, which bounds its overlap with each member. Only groups that reach the bound are opened: blocks of classes
    are compared with blocks of members by their whole texts, unless both are connected already, and a block
@@ -40,8 +40,8 @@ NEED = 6
 FREQUENT, MOST_FREQUENT = 50, 1 << 20
 #: Frequent tokens are looked for in prefixes by hash, and then within so many places of those found.
 NEAR = 48
-#: Rounds in which groups are formed, at most.
-ROUNDS = 3
+#: Rounds of comparisons with leaders, at most. One connects nearly all that later rounds would.
+ROUNDS = 1
 #: Classes on a side of a block.
 SIDE = 256
 #: Bits of the filter of tokens that several classes share, at most.
