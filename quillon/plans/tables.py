@@ -252,6 +252,15 @@ def modes(spark, sf):
     return taste.modes(rated(spark, sf), coherence=0.1)
 
 
+@query("tm1_calibrated_signals")
+def calibrated(spark, sf):
+    """Signals of each nation's history against a generic viewer, whose facts come from all customers."""
+    facts = A.vote_quality(T.history(spark, sf, "customer")).select("item", "mean", "votes")
+    items = T.items(spark, sf).select("item", F.expr("runtime div 10").alias("decade"), "genre")
+    rows = T.history(spark, sf).select("user", "item", (F.col("rating_half") / 2.0).alias("stars")).join(items, "item", "left").join(facts, "item", "left")
+    return taste.calibrated(rows)
+
+
 @query("tm8_preference_direction")
 def direction(spark, sf):
     return taste.direction(rated(spark, sf))

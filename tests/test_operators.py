@@ -137,3 +137,18 @@ def test_depths_and_streaks(spark, tmp_path):
     assert sorted(map(tuple, logs.depths(tree, "n", "up").collect())) == [(i, i) for i in range(20)]
     log = spark.createDataFrame([(1, t, b) for t, b in enumerate([0, 1, 1, 0, 1, 1, 1])] + [(2, 0, 0)], "k int, t int, b int")
     assert sorted(map(tuple, logs.streaks(log, ["k"], ["t"], F.col("b") == 1).collect())) == [(1, 3), (2, 0)]
+
+
+def test_calibrated_signals(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(40):
+        mean = float(rng.uniform(2, 4))
+        rows.append((1, i, mean + (0.5 if i % 2 else -0.5) + 0.01 * float(rng.normal()), mean, 50, i % 3, "g"))
+    rows += [(2, i, float(i % 5), 3.0, 10, 0, "g") for i in range(10)] + [(1, 99, 3.0, None, None, None, None)]
+    out = taste.calibrated(spark.createDataFrame(rows, "user long, item long, stars double, mean double, votes long, decade long, genre string")).toPandas()
+    one, two = out[out.user == 1].set_index("item"), out[out.user == 2]
+    # the mean explains much of the rating; what is left is the planted half star, up or down
+    assert one.r2.iloc[0] > 0.4 and (np.sign(one.residual.drop(99)) == np.where(one.index[:-1] % 2, 1, -1)).mean() > 0.9
+    assert np.allclose(two.residual, two.z) and (two.r2 == 0).all() and np.isclose(one.residual[99], one.z[99])
+    assert np.allclose(out.s, 0.6 * out.z + 0.4 * out.residual)
