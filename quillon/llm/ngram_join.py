@@ -39,7 +39,7 @@ NEED = 6
 #: A token of more documents counts as frequent; so many tokens may at most.
 FREQUENT, MOST_FREQUENT = 50, 1 << 20
 #: Frequent tokens are looked for in prefixes by hash, and then within so many places of those found.
-NEAR = 48
+NEAR = 12
 #: Rounds of comparisons with leaders, at most. One connects nearly all that later rounds would.
 ROUNDS = 1
 #: Classes on a side of a block.
