@@ -6,7 +6,7 @@ document's normalised text once; where a pattern ends, its words are hit, and a
 bytes in the original text.
 
 Items are taken in shards of at most `SHARD_BYTES` of patterns, so that what is broadcast has a bound; documents
-are read once for each shard, and a document's findings in several shards are united.
+are read once for each shard, and a document's findings in several shards are united, with their bytes.
 
 Defined results: null or empty texts have no words and are never hit; an item without words has no window and
 occurs nowhere; repeated documents give one row each; items with the same text are found together; items with
@@ -78,14 +78,15 @@ class Scanner:
         return len(words), spans, found
 
 
-def covered(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The spans united, in order."""
-    out: list[tuple[int, int]] = []
-    for first, end in sorted(spans):
-        if out and first <= out[-1][1]:
-            out[-1] = (out[-1][0], max(end, out[-1][1]))
+def covered(spans: list[tuple[int, ...]]) -> list[tuple[int, ...]]:
+    """The spans (first, end) united, in order; spans that also tell their bytes, (first, end, first byte, end byte), keep them."""
+    out: list[tuple[int, ...]] = []
+    for span in sorted(spans):
+        if out and span[0] <= out[-1][1]:
+            if span[1] > out[-1][1]:
+                out[-1] = tuple(span[k] if k % 2 else out[-1][k] for k in range(len(span)))
         else:
-            out.append((first, end))
+            out.append(tuple(span))
     return out
 
 
@@ -116,6 +117,9 @@ def shards(benchmark: DataFrame, item: str, text: str) -> Iterator[list[tuple[ob
         yield [tuple(r) for r in dealt.where(F.col("_shard") == k).select(item, text).collect()]
 
 
+#: A span of words and where it lies, as each shard's task tells it.
+PLACE = ("first", "end", "first_byte", "end_byte")
+PLACES = "array<struct<first:long,end:long,first_byte:long,end_byte:long>>"
 RESULT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, hit_bytes array<struct<first:long,end:long>>"
 
 
@@ -127,8 +131,9 @@ def scan(docs: DataFrame, items: list, window: int, text: str, key: str, part: b
     """Documents against one shard: the result, or with `part` what a shard adds to it."""
     kind = dict(docs.dtypes)[key]
     packed = docs.sparkSession.sparkContext.broadcast(zlib.compress(pickle.dumps(items), 1))
-    schema = f"{key} {kind}, " + ("_text string, n_words long, spans array<struct<first:long,end:long>>, items array<string>" if part else RESULT)
-    span = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
+    schema = f"{key} {kind}, " + (f"_text string, n_words long, spans {PLACES}, items array<string>" if part else RESULT)
+    span = pa.list_(pa.struct([(c, pa.int64()) for c in (PLACE if part else PLACE[:2])]))
+    names = [key, *(("_text", "n_words", "spans", "items") if part else ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hit_bytes"))]
 
     def over(batch: pa.RecordBatch) -> pa.RecordBatch:
         machine = scanner(packed.value, window)
@@ -137,12 +142,12 @@ def scan(docs: DataFrame, items: list, window: int, text: str, key: str, part: b
             data = (value or "").encode("utf-8", "surrogatepass")
             n, spans, found = machine.scan(data)
             spans = covered(spans)
+            places = offsets(data, spans) if spans else []
             if part:
-                made.append((hashlib.sha256(data).hexdigest(), n, [{"first": a, "end": b} for a, b in spans], sorted(map(str, found))))
+                made.append((hashlib.sha256(data).hexdigest(), n, [dict(zip(PLACE, (*s, *p), strict=True)) for s, p in zip(spans, places, strict=True)], sorted(map(str, found))))
             else:
-                made.append((n, sum(b - a for a, b in spans), len(found), digest(found), bool(spans), [{"first": a, "end": b} for a, b in offsets(data, spans)] if spans else []))
+                made.append((n, sum(b - a for a, b in spans), len(found), digest(found), bool(spans), [{"first": a, "end": b} for a, b in places]))
         kinds = [pa.string(), pa.int64(), span, pa.list_(pa.string())] if part else [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), span]
-        names = [c.split()[0] for c in schema.replace("struct<first:long,end:long>", "").split(", ")]
         return pa.record_batch([batch.column(0), *(pa.array(v, k) for v, k in zip(zip(*made, strict=True), kinds, strict=True))], names=names)
 
     return map_arrow(docs.select(key, text), over, schema)
@@ -169,17 +174,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, t
         others = others.unionByName(m)
     others = others.dropDuplicates().groupBy(key, "_text").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
     both = base.alias("b").join(others.alias("o"), F.col(f"b.{key}").eqNullSafe(F.col(f"o.{key}")) & (F.col("b._text") == F.col("o._text")), "left")
-    none_s, none_i = F.expr("cast(array() as array<struct<first:long,end:long>>)"), F.expr("cast(array() as array<string>)")
+    none_s, none_i = F.expr(f"cast(array() as {PLACES})"), F.expr("cast(array() as array<string>)")
     both = both.select(
         F.col(f"b.{key}").alias(key), F.col("b.n_words").alias("n_words"), F.concat("b.spans", F.coalesce("o.spans", none_s)).alias("spans"), F.array_distinct(F.concat("b.items", F.coalesce("o.items", none_i))).alias("items")
     )
 
     def unite(batch: pa.RecordBatch) -> pa.RecordBatch:
-        spans = [covered([(s["first"], s["end"]) for s in v]) for v in batch.column(2).to_pylist()]
+        spans = [covered([tuple(s[c] for c in PLACE) for s in v]) for v in batch.column(2).to_pylist()]
         found = [set(v) for v in batch.column(3).to_pylist()]
-        none = [None] * batch.num_rows  # bytes aren't mapped here: the texts are not carried through the join
+        places = [[{"first": a, "end": b} for *_, a, b in s] for s in spans]
         return pa.record_batch(
-            [batch.column(0), batch.column(1), pa.array([sum(b - a for a, b in s) for s in spans], pa.int64()), pa.array([len(f) for f in found], pa.int64()), pa.array([digest(f) for f in found]), pa.array([bool(s) for s in spans]), pa.array(none, pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())])))],
+            [batch.column(0), batch.column(1), pa.array([sum(b - a for a, b, *_ in s) for s in spans], pa.int64()), pa.array([len(f) for f in found], pa.int64()), pa.array([digest(f) for f in found]), pa.array([bool(s) for s in spans]), pa.array(places, pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())])))],
             names=[key, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hit_bytes"],
         )
 

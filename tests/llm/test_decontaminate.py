@@ -54,6 +54,23 @@ def test_against_brute_force(spark, monkeypatch):
     assert rows(dc.decontaminate(docs, items)) == want
 
 
+def test_bytes_of_hits_in_several_shards(spark, monkeypatch):
+    docs = spark.createDataFrame(DOCS, "doc_id long, text string, n_hit string")
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+
+    def places():
+        return sorted(((r.doc_id, [tuple(s) for s in r.hit_bytes]) for r in dc.decontaminate(docs, items).collect()), key=str)
+
+    one = places()
+    assert sum(bool(s) for _, s in one) >= 4
+    monkeypatch.setattr(dc, "SHARD_BYTES", 400)
+    assert places() == one
+
+
+def test_united_spans_keep_their_bytes():
+    assert dc.covered([(4, 9, 40, 90), (0, 5, 0, 50), (1, 3, 10, 30), (12, 13, 120, 130)]) == [(0, 9, 0, 90), (12, 13, 120, 130)]
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame(DOCS, "doc_id long, text string, n_hit string")
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
