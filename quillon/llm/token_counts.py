@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
@@ -36,8 +37,8 @@ ANY = regex.compile(PATTERN)
 #: The same words for texts within Latin-1, twice as fast.
 LATIN = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{SPACES}{LETTERS}{NUMBERS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
 
-#: Words whose counts each Python worker keeps; later ones are counted anew each time.
-KEPT_WORDS = 600_000
+#: Words whose prefix counts each Python worker keeps, and their characters in all; later ones are counted anew each time.
+KEPT_WORDS, KEPT_CHARS = 600_000, 16_000_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -48,7 +49,7 @@ def byte_letters() -> dict[int, str]:
 
 
 class Words(dict):
-    """word -> its token count; a word not met before is counted by the prefix recurrence."""
+    """word -> its token count; a word not met before is counted by the prefix recurrence, and the counts of its prefixes kept."""
 
     def __init__(self, vocabulary: dict[str, int], merges: list):
         super().__init__()
@@ -69,6 +70,9 @@ class Words(dict):
             node[-1] = k
         self.longest = max(map(len, self.names), default=1)
         self.fits: dict[int, bool] = {}
+        #: word -> the token counts of its prefixes by characters.
+        self.held: dict[str, bytes | array] = {}
+        self.room = KEPT_CHARS
 
     def fit(self, left: bytes, right: bytes) -> bool:
         """Whether encoding left + right gives just these two tokens.
@@ -115,10 +119,21 @@ class Words(dict):
         return counts
 
     def __missing__(self, word: str) -> int:
-        count = self.prefixes(word.encode("utf-8", "surrogatepass"))[-1]
-        if len(self) < KEPT_WORDS:
-            self[word] = count
-        return count
+        return self.within(word)[-1]
+
+    def within(self, word: str) -> bytes | array:
+        """The token count of the first n characters of a word for n from 0 to its length."""
+        known = self.held.get(word)
+        if known is None:
+            counts = self.prefixes(word.encode("utf-8", "surrogatepass"))
+            if not word.isascii():
+                counts = [counts[n] for n in accumulate((len(c.encode("utf-8", "surrogatepass")) for c in word), initial=0)]
+            # a prefix that ends within a character's bytes has no part here; counts mostly fit one byte
+            known = bytes(counts) if max(counts) < 256 else array("I", counts)
+            if len(self.held) < KEPT_WORDS and len(word) <= self.room:
+                self.held[word], self[word] = known, known[-1]
+                self.room -= len(word)
+        return known
 
 
 class Prefixes:
@@ -139,18 +154,41 @@ class Prefixes:
         if chars >= len(self.text):
             return self.total
         k = bisect_right(self.ends, chars)  # words that end at or before the cut
+        low = self.ends[k - 1] if k else 0
+        if chars - low >= self.least(k):
+            return (self.counts[k - 1] if k else 0) + self.counter.words.within(self.words[k])[chars - low]
         while k and (self.words[k - 1].isspace() or self.ends[k - 1] == chars or self.counter.special_near(self.text, self.ends[k - 1], chars)):
             k -= 1
         start = self.ends[k - 1] if k else 0
         return (self.counts[k - 1] if k else 0) + sum(map(self.counter.cost, self.counter.split(self.text[start:chars])))
 
+    def least(self, k: int) -> int:
+        """From how many characters on a cut within word k leaves the words before it and the first part of it as words."""
+        word = self.words[k]
+        if word in self.counter.special or word[0] == "'" and len(word) <= 3:  # of these, parts are split otherwise
+            return len(word) + 1
+        return 2  # a first space can belong to white space before it
+
     def fit(self, budget: int) -> int:
-        """The characters of the longest prefix up to which whole words stay within the budget, and then of the word that crosses it."""
+        """The characters of the longest prefix whose tokens, encoded alone, stay within the budget."""
         if self.total <= budget:
             return len(self.text)
-        k = bisect_right(self.counts, budget)
-        low = self.ends[k - 1] if k else 0
-        return max((c for c in range(low, min(self.ends[k], low + 4 * budget + 64)) if self.at(c) <= budget), default=low)
+        # the first word that crosses it; the cut lies there, one character behind (white space is split by what follows), or before
+        for k in range(bisect_right(self.counts, budget), -1, -1):
+            low, end = self.ends[k - 1] if k else 0, self.ends[k]
+            for cut in range(min(end + 1, len(self.text)), end - 1, -1):
+                if self.at(cut) <= budget:
+                    return cut
+            before, least, told = self.counts[k - 1] if k else 0, self.least(k), None
+            if end - low > least:
+                told = self.counter.words.within(self.words[k])
+                for n in range(end - low - 1, least - 1, -1):
+                    if before + told[n] <= budget:
+                        return low + n
+            for cut in range(min(end - 1, low + least - 1), low - 1, -1):
+                if self.at(cut) <= budget:
+                    return cut
+        return 0
 
 
 class Counter:

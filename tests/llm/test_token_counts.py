@@ -35,6 +35,37 @@ def test_fit_keeps_within_the_budget():
     assert told(text[:kept]) <= 57 < told(text[: kept + 12])
 
 
+def longest(text, budget):
+    return max(c for c in range(len(text) + 1) if told(text[:c]) <= budget)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet=st.one_of(st.sampled_from(list("ab c're\n\tsréд日😀<|>09  ")), st.characters(exclude_categories=["Cs"])), max_size=40), st.integers(0, 30))
+def test_fit_finds_the_longest_prefix_of_the_library(text, budget):
+    assert tc.Prefixes(text, COUNTER).fit(budget) == longest(text, budget)
+
+
+def test_fit_around_special_strings_and_white_space():
+    for text in ["ab <|endoftext|> cd", "a   \nword", "a \n\n  don't're", "x" * 70 + "   <|endoftext|>"]:
+        for budget in range(told(text) + 1):
+            assert tc.Prefixes(text, COUNTER).fit(budget) == longest(text, budget)
+
+
+def test_fit_in_long_runs_of_one_character():
+    for mark, budget in ((" ", 9), ("-", 5), ("=", 7), ("x", 11)):
+        text = "some words " + mark * 20_000 + " end"
+        kept = tc.Prefixes(text, COUNTER).fit(budget)
+        assert told(text[:kept]) <= budget
+        assert all(told(text[:c]) > budget for c in range(kept + 1, min(kept + 600, len(text))))
+        assert all(told(text[:c]) > budget for c in range(kept + 600, len(text), 997))
+
+
+def test_prefix_counts_of_words_are_kept():
+    counter = tc.Counter(PATH)
+    counter.total("unbelievable")
+    assert list(counter.words.held["unbelievable"]) == [told("unbelievable"[:n]) for n in range(13)]
+
+
 def test_rows(spark):
     rows = [(1, None, "x"), (1, None, "x"), (2, "", "x"), (3, "it's <|endoftext|> é", "x"), (4, "word " * 3000, "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string")
