@@ -156,6 +156,15 @@ def unknown(spark, sf):
     return E.unknown_rate(r.select("user", "item"), directors, known).select("user", F.round("rate", 6).alias("rate"))
 
 
+@query("ev16_unknown_director_rate_whole", T.SQL + ARMS + ", known AS (SELECT DISTINCT user, person FROM train JOIN credits USING (item) WHERE role = 'director') SELECT user, round(avg(CASE WHEN EXISTS (SELECT 1 FROM credits c JOIN known k USING (person) WHERE c.role = 'director' AND c.item = r.item AND k.user = r.user) THEN 0.0 ELSE 1.0 END), 6) AS rate FROM ranked r GROUP BY 1")
+def unknown_whole(spark, sf):
+    """ev16_unknown_director_rate with every director that a user has rated."""
+    r, _, train = popular(spark, sf)
+    directors = T.credits(spark, sf).where("role = 'director'").select("item", "person")
+    known = train.join(directors, "item").select("user", "person").distinct()
+    return E.unknown_rate(r.select("user", "item"), directors, known).select("user", F.round("rate", 6).alias("rate"))
+
+
 @query("ev14_mode_coverage", T.SQL + ARMS + CENTROIDS + " SELECT user, round(count(DISTINCT mode) / least(10, count(*)), 6) AS coverage FROM judged JOIN (SELECT item, arg_max(mode, (c, -mode)) AS mode FROM (SELECT item, mode, list_cosine_similarity(v, q) AS c FROM vectors, cent) GROUP BY 1) USING (item) GROUP BY 1")
 def mode_coverage(spark, sf):
     from quillon.plans.retrieval import modes

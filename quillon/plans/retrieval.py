@@ -85,6 +85,13 @@ def union_targets(spark, sf):
     return liked.distinct().agg(F.count("*").alias("n"), F.sum("item").alias("total"))
 
 
+@query("st_union_targets_whole", T.SQL + " SELECT count(*) AS n, CAST(sum(item) AS BIGINT) AS total FROM (SELECT item FROM items WHERE popularity > 950 UNION SELECT item FROM custhist)")
+def union_targets_whole(spark, sf):
+    """st_union_targets with the histories of every user."""
+    liked = T.items(spark, sf).where("popularity > 950").select("item").union(T.history(spark, sf, "customer").select("item"))
+    return liked.distinct().agg(F.count("*").alias("n"), F.sum("item").alias("total"))
+
+
 @query("st_index_orphans", T.SQL + " SELECT (SELECT count(*) FROM items ANTI JOIN vectors USING (item)) AS missing, (SELECT count(*) FROM vectors ANTI JOIN items USING (item)) AS orphans, (SELECT count(*) FROM vectors) AS n, (SELECT min(len(v)) FROM vectors) AS least_width, (SELECT max(len(v)) FROM vectors) AS most_width")
 def index_orphans(spark, sf):
     i, v = T.items(spark, sf).select("item"), T.vectors(spark, sf)

@@ -142,6 +142,30 @@ def leaks(spark, sf):
     return d.join(F.broadcast(b), F.contains("t", F.concat(F.lit(" "), F.col("needle"), F.lit(" ")))).groupBy("item_id").agg(F.count("*").alias("n"))
 
 
+@query("sc8_title_leaks_whole", f"SELECT item_id, count(*) AS n FROM (SELECT item_id, doc_id FROM (SELECT doc_id, ' ' || {NORMAL.format('text')} || ' ' AS t FROM documents), (SELECT item_id, ' ' || regexp_replace({NORMAL.format('text')}, '^(the|a|an|le|la|les|un|une|der|die|das|el|los|las|il|lo) (.)', '\\2') || ' ' AS needle FROM benchmark) WHERE contains(t, needle)) GROUP BY 1")
+def leaks_whole(spark, sf):
+    """sc8_title_leaks for every item."""
+    b = table(spark, sf, "benchmark").select("item_id", X.normal_title(F.col("text")).alias("needle"))
+    d = table(spark, sf, "documents").select("doc_id", F.trim(F.regexp_replace(F.translate(F.lower("text"), X.MARKED, X.PLAIN), r"[^\p{L}\p{N}]+", " ")).alias("t"))
+    return title_leaks(d, b)
+
+
+def title_leaks(docs: DataFrame, needles: DataFrame, most: int = 8) -> DataFrame:
+    """(item_id, n): documents (doc_id, t) that hold an item's needle as whole words. A needle's first words, `most` at most, are
+    looked up among the documents' runs of as many words; what they lead to is compared whole."""
+    b = needles.where("needle is not null").groupBy("item_id", "needle").agg(F.count("*").alias("m")).withColumn("w", F.split("needle", " "))
+    b = b.withColumn("k", F.least(F.size("w"), F.lit(most))).withColumn("key", F.xxhash64(F.expr("array_join(slice(w, 1, k), ' ')"))).drop("w")
+    lengths = sorted(r.k for r in b.select("k").distinct().collect())
+    d = docs.where("t is not null").withColumn("h", F.xxhash64("t"))
+    words = d.select("doc_id", "h", F.split("t", " ").alias("w"))
+    runs = [F.expr(f"if(size(w) >= {k}, transform(sequence(1, greatest(1, size(w) - {k - 1})), i -> xxhash64(array_join(slice(w, i, {k}), ' '))), cast(array() as array<bigint>))") for k in lengths]
+    keys = words.select("doc_id", "h", F.explode(F.array_distinct(F.concat(*runs)) if runs else F.expr("cast(array() as array<bigint>)")).alias("key"))
+    pairs = keys.join(b, "key").select(F.col("doc_id").alias("_doc"), F.col("h").alias("_h"), "item_id", "needle", "m").distinct()
+    held = pairs.join(d, F.col("_doc").eqNullSafe(F.col("doc_id")) & (F.col("_h") == F.col("h")))
+    space = F.lit(" ")
+    return held.where(F.contains(F.concat(space, "t", space), F.concat(space, "needle", space))).groupBy("item_id").agg(F.sum("m").alias("n"))
+
+
 @query("sc12_item_documents", T.SQL + " SELECT item, title || ' (' || genre || ')' || E'\\n' || coalesce('With ' || people || '.' || E'\\n', '') || 'Runs ' || runtime || ' minutes.' AS doc, substr(sha256(title || ' (' || genre || ')' || E'\\n' || coalesce('With ' || people || '.' || E'\\n', '') || 'Runs ' || runtime || ' minutes.'), 1, 16) AS sha FROM items LEFT JOIN (SELECT item, string_agg(person, ', ' ORDER BY ord) AS people FROM credits WHERE role = 'actor' GROUP BY 1) USING (item)")
 def item_documents(spark, sf):
     people = T.credits(spark, sf).where("role = 'actor'").groupBy("item").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "person"))), lambda p: p["person"].cast("string")), ", ").alias("people"))

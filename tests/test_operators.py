@@ -152,3 +152,13 @@ def test_calibrated_signals(spark):
     assert one.r2.iloc[0] > 0.4 and (np.sign(one.residual.drop(99)) == np.where(one.index[:-1] % 2, 1, -1)).mean() > 0.9
     assert np.allclose(two.residual, two.z) and (two.r2 == 0).all() and np.isclose(one.residual[99], one.z[99])
     assert np.allclose(out.s, 0.6 * out.z + 0.4 * out.residual)
+
+
+def test_title_leaks_of_every_item(spark):
+    from quillon.plans.tables import title_leaks
+
+    long = "one two three four five six seven eight nine"
+    docs = spark.createDataFrame([(1, f"x {long} y"), (1, f"x {long} y"), (2, "one two three four five six seven eight ten"), (None, "short item"), (4, ""), (5, None), (6, "shortest items")], "doc_id long, t string")
+    needles = spark.createDataFrame([(7, "short item"), (8, long), (900, long), (900, long), (10, "item"), (11, None), (12, "")], "item_id long, needle string")
+    assert sorted(map(tuple, title_leaks(docs, needles).collect())) == [(7, 1), (8, 2), (10, 1), (12, 1), (900, 4)]
+    assert title_leaks(docs, needles.limit(0)).count() == 0
