@@ -29,6 +29,8 @@ from quillon.llm._common import map_arrow
 
 #: Characters learned from in all and for each language at most, and rows of a language from which whole texts are taken.
 LEARNED, LEARNED_EACH, ROWS = 240_000, 60_000, 200
+#: Characters that any language may have, however many there are; slices of a language that has no whole text which fits.
+LEAST_EACH, SLICES = 1_000, 4
 #: Kinds of characters: space, letters by frequency, and the rest by code point.
 KINDS, FREQUENT = 64, 44
 BLOCK, HELD = 2048, 4_000_000
@@ -179,26 +181,37 @@ def languages(samples: tuple[tuple[str, str], ...]) -> Languages:
 
 
 def learn(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id", only: Column | None = None) -> tuple[tuple[str, str], ...]:
-    """(language, sample) of whole texts: rows in order of a hash, as long as they fit in what is learned of a language."""
-    rows = docs.select(F.col(key).alias("_id"), F.col(lang).cast("string").alias("_lang"), F.octet_length(F.coalesce(text, F.lit(""))).alias("_n"))
-    if only is not None:
-        rows = docs.where(only).select(F.col(key).alias("_id"), F.col(lang).cast("string").alias("_lang"), F.octet_length(F.coalesce(text, F.lit(""))).alias("_n"))
-    rows = rows.where(f"_lang is not null and _id is not null and _n between 1 and {LEARNED_EACH // 4}").select("_id", "_lang")
-    order = Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id")
-    few = rows.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= ROWS)
-    texts = docs.where(F.octet_length(text) <= LEARNED_EACH // 4).select(F.col(key).alias("_id"), F.col(lang).cast("string").alias("_lang"), F.col(text).alias("_text"))
-    got = texts.join(F.broadcast(few), ["_id", "_lang"]).groupBy("_lang", "_r").agg(F.min("_text").alias("_text")).collect()
-    names = sorted({r._lang for r in got})
-    each = min(LEARNED_EACH, LEARNED // max(1, len(names)))
+    """(language, sample) of whole texts: rows in order of a hash, as long as they fit in what is learned of a language.
+
+    A language none of whose whole texts fit is learned from slices, each from a text's first letter on.
+    """
+    lettered = F.col(text).rlike(r"\p{L}") & F.col(key).isNotNull() & F.col(lang).isNotNull()
+    whole = (F.octet_length(text) <= LEARNED_EACH // 4).alias("_whole")
+    rows = (docs if only is None else docs.where(only)).where(lettered).select(F.col(key).alias("_id"), F.col(lang).cast("string").alias("_lang"), whole)
+    order = Window.partitionBy("_lang", "_whole").orderBy(F.xxhash64("_id"), "_id")
+    few = rows.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= max(ROWS, SLICES)).where(F.col("_r") <= F.when(F.col("_whole"), ROWS).otherwise(SLICES))
+    texts = docs.where(lettered).select(F.col(key).alias("_id"), F.col(lang).cast("string").alias("_lang"), whole, F.col(text).alias("_text"))
+    part = F.when(F.col("_whole"), F.col("_text")).otherwise(F.regexp_extract("_text", rf"(?s)\p{{L}}.{{0,{LEARNED_EACH // SLICES - 1}}}", 0))
+    got = texts.join(F.broadcast(few), ["_id", "_lang", "_whole"]).select("_lang", "_whole", "_r", part.alias("_text")).groupBy("_lang", "_whole", "_r").agg(F.min("_text").alias("_text")).collect()
+    own: dict[str, list] = {}
+    for r in sorted(got, key=lambda r: (r._lang, not r._whole, r._r)):
+        own.setdefault(r._lang, []).append(r)
+    each = max(LEAST_EACH, min(LEARNED_EACH, LEARNED // max(1, len(own))))
     out = []
-    for name in names:
+    for name, texts_of in own.items():
         sample, room = [], each
-        for r in sorted((r for r in got if r._lang == name), key=lambda r: r._r):
-            if len(r._text) < room:
+        for r in texts_of:
+            if r._whole and len(r._text) < room:
                 sample.append(r._text)
                 room -= len(r._text) + 1
-        if sample:
-            out.append((name, "\n".join(sample)))
+        if not sample:
+            for r in texts_of:
+                first = next((i for i, c in enumerate(r._text) if c.isalpha()), 0)
+                piece = r._text[first : first + max(0, room)]
+                if piece:
+                    sample.append(piece)
+                    room -= len(piece) + 1
+        out.append((name, "\n".join(sample)))
     return tuple(out)
 
 

@@ -34,6 +34,32 @@ def test_blocks():
     assert TABLES.phrases([TABLES.kinds(lg.spelled(text))])[:, 0].tolist() == [brute(text, SAMPLES[n]) for n in TABLES.names]
 
 
+def test_no_labelled_language_is_lost(spark):
+    rng = random.Random(5)
+
+    def prose(lang, n):
+        parts = ["".join(rng.choice(lang) for _ in range(3)) for _ in range(12)]
+        return lambda: " ".join("".join(rng.choice(parts) for _ in range(3)) for _ in range(n))
+
+    def table(made):
+        return spark.createDataFrame([(100 * k + i, t, lang) for k, (lang, texts) in enumerate(made) for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+
+    # a language of long texts only, one of which begins with many characters that are no letters
+    short, books = prose("abcdef", 40), prose("ghijkl", 4000)
+    docs = table([("aa", [short() for _ in range(9)]), ("bb", ["1 " * 20_000 + books(), books(), books()]), ("cc", ["12 34"])])
+    samples = dict(lg.learn(docs))
+    assert sorted(samples) == ["aa", "bb"] and 10_000 < len(samples["bb"]) <= lg.LEARNED_EACH
+    assert {(r.lang, r.lang_pred) for r in lg.identify(docs, tuple(samples.items())).collect()} == {("aa", "aa"), ("bb", "bb"), ("cc", "und")}
+
+    # thirty languages of texts longer than the room that each has
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    thirty = [(f"l{k:02}", [make() for _ in range(3)]) for k in range(30) for make in [prose(rng.sample(letters, 6), 1000)]]
+    docs = table(thirty)
+    samples = lg.learn(docs)
+    assert [n for n, _ in samples] == [n for n, _ in thirty] and all(len(t) <= lg.LEARNED // 30 for _, t in samples)
+    assert all(r.lang == r.lang_pred for r in lg.identify(docs, samples).collect())
+
+
 def test_rows_and_held_out_accuracy(spark):
     rng = random.Random(3)
     parts = {"aa": ["th", "er", "an", "ing", "ou"], "bb": ["sch", "ei", "ung", "er", "ich"], "cc": ["ção", "os", "el", "ar", "que"]}
