@@ -108,10 +108,16 @@ def judged(spark, sf) -> tuple[DataFrame, DataFrame]:
 def popular(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(ranking, judgements, training rows). No list is longer than 50, so 50 + the most items that a user has seen are enough of the popular ones."""
     test, train = judged(spark, sf)
+    return unseen(T.items(spark, sf).select("item", "popularity"), test, train), test, train
+
+
+def unseen(items: DataFrame, test: DataFrame, train: DataFrame, n: int = 50, broadcast_rows: int = 100_000) -> DataFrame:
+    """Each test user's first n items (item, popularity) that are not among the training rows. n + the most that a user has seen are enough to choose from."""
     most = train.groupBy("user").count().agg(F.max("count")).first()[0] or 0
-    best = T.items(spark, sf).select("item", "popularity").orderBy(F.desc("popularity"), "item").limit(50 + most)
-    pairs = test.select("user").distinct().crossJoin(F.broadcast(best)).join(train, ["user", "item"], "left_anti")
-    return ranking.ranked(pairs, 50, "popularity", ["user"]), test, train
+    best = items.orderBy(F.desc("popularity"), "item").limit(n + most)
+    users = test.select("user").distinct()
+    pairs = users.crossJoin(F.broadcast(best) if n + most <= broadcast_rows else best).join(train, ["user", "item"], "left_anti")
+    return ranking.ranked(pairs, n, "popularity", ["user"])
 
 
 @query("ev21_baseline_popularity", T.SQL + ARMS + " SELECT user, item, rank FROM ranked")
@@ -209,8 +215,7 @@ def bootstrap(spark, sf):
 def paired(spark, sf):
     """The interval of the difference in NDCG between two rankings of the same users; both sides share each draw."""
     r, test, train = popular(spark, sf)
-    cheap = T.items(spark, sf).select("item", (-F.col("popularity")).alias("popularity")).orderBy(F.desc("popularity"), "item").limit(2000)
-    other = ranking.ranked(test.select("user").distinct().crossJoin(F.broadcast(cheap)).join(train, ["user", "item"], "left_anti"), 50, "popularity", ["user"])
+    other = unseen(T.items(spark, sf).select("item", (-F.col("popularity")).alias("popularity")), test, train)
     a, b = E.metrics(r, test).select("user", F.col("ndcg").alias("a")), E.metrics(other, test).select("user", F.col("ndcg").alias("b"))
     values = a.join(b, "user").select(F.lit("popular - cheap").alias("arm"), F.col("user").alias("id"), (F.col("a") - F.col("b")).alias("value"))
     return E.bootstrap_mean(values, ["arm"])

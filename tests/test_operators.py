@@ -162,3 +162,21 @@ def test_title_leaks_of_every_item(spark):
     needles = spark.createDataFrame([(7, "short item"), (8, long), (900, long), (900, long), (10, "item"), (11, None), (12, "")], "item_id long, needle string")
     assert sorted(map(tuple, title_leaks(docs, needles).collect())) == [(7, 1), (8, 2), (10, 1), (12, 1), (900, 4)]
     assert title_leaks(docs, needles.limit(0)).count() == 0
+
+
+def test_paired_arms_reach_behind_what_a_user_has_seen(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from quillon.plans import evaluation as ev
+
+    items = spark.range(2200).select(F.col("id").alias("item"), F.col("id").cast("double").alias("popularity"))
+    seen = spark.range(2100).select(F.lit(1).cast("long").alias("user"), F.col("id").alias("item"))
+    test = spark.createDataFrame([(1, 2110, 3, 10), (2, 5, 3, 10)], "user long, item long, rel int, rating_half int")
+    monkeypatch.setattr(ev.T, "items", lambda spark, sf: items)
+    monkeypatch.setattr(ev, "judged", lambda spark, sf: (test, seen))
+    arms = []
+    metrics = ev.E.metrics
+    monkeypatch.setattr(ev.E, "metrics", lambda r, t: (arms.append(r), metrics(r, t))[1])
+    ev.paired(spark, None)
+    cheap = {u: [r.item for r in arms[1].where(F.col("user") == u).orderBy("rank").collect()] for u in (1, 2)}
+    assert cheap == {1: list(range(2100, 2150)), 2: list(range(50))}
