@@ -273,7 +273,7 @@ def rated(spark, sf) -> DataFrame:
 
 @query("tm7_taste_modes")
 def modes(spark, sf):
-    return taste.modes(rated(spark, sf), coherence=0.1)
+    return taste.modes(rated(spark, sf))
 
 
 @query("tm1_calibrated_signals")

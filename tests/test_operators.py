@@ -180,3 +180,19 @@ def test_paired_arms_reach_behind_what_a_user_has_seen(spark, monkeypatch):
     ev.paired(spark, None)
     cheap = {u: [r.item for r in arms[1].where(F.col("user") == u).orderBy("rank").collect()] for u in (1, 2)}
     assert cheap == {1: list(range(2100, 2150)), 2: list(range(50))}
+
+
+def test_silhouette_of_many_points_needs_no_matrix_of_pairs():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(4000, 8)) + np.repeat(np.eye(8)[:2] * 4, 2000, axis=0)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    labels, w = np.repeat([0, 1], 2000), np.ones(4000)
+    tracemalloc.start()
+    got = taste.silhouette(x, labels, w)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    far = 1 - x @ x.T
+    inside, outside = [np.array([np.where(np.arange(4000) // 2000 == (i // 2000 + o) % 2, far[i], 0).sum() / (1999 + o) for i in range(4000)]) for o in (0, 1)]
+    assert abs(got - np.mean((outside - inside) / np.maximum(inside, outside))) < 1e-6 and peak < 20 << 20
