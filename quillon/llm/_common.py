@@ -2,31 +2,40 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+#: Bytes of an Arrow batch that a function is given at once (a longer row comes alone).
+BATCH_BYTES = 8 << 20
 #: Rows up to this many bytes in all may be broadcast; beyond it the join shuffles.
 BROADCAST_BYTES = 24 << 20
 
 
+T = TypeVar("T")
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only under a local master, where it may be unset, a temporary one is made."""
     told = spark.conf.get("spark.checkpoint.dir", None)
     if told:
         return told.rstrip("/")
     sc = spark.sparkContext
     held = sc._jsc.sc().getCheckpointDir()
     if held.isEmpty():
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-quillon-"))
         held = sc._jsc.sc().getCheckpointDir()
     return held.get().rstrip("/")
@@ -45,13 +54,35 @@ def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFr
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
 
 
+_KEPT: dict = {}
+
+
+def kept(make: Callable[[], T], *key: object) -> T:
+    """What a Python worker keeps between batches: one object, as workers are used again and another stage's shouldn't stay beside it."""
+    if _KEPT.get("key") != key:
+        _KEPT.clear()
+        _KEPT["value"] = make()
+        _KEPT["key"] = key
+    return _KEPT["value"]
+
+
+def cut(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of at most so many bytes, or of one row."""
+    if batch.num_rows > 1 and batch.nbytes > most:
+        half = batch.num_rows // 2
+        yield from cut(batch.slice(0, half), most)
+        yield from cut(batch.slice(half), most)
+    elif batch.num_rows:
+        yield batch
+
+
 def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch], schema: str | StructType) -> DataFrame:
-    """mapInArrow with a function of one batch."""
+    """mapInArrow with a function of one batch of bounded bytes."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                out = function(batch)
+            for part in cut(batch, BATCH_BYTES):
+                out = function(part)
                 if isinstance(out, pa.RecordBatch):
                     yield out
                 else:

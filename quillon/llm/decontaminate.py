@@ -19,14 +19,13 @@ import hashlib
 import pickle
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm._common import map_arrow, written
+from quillon.llm._common import kept, map_arrow, written
 
 WINDOW = 10
 #: Bytes of patterns in one automaton.
@@ -98,10 +97,9 @@ def offsets(data: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(int(starts[a]), int(ends[b - 1])) for a, b in spans]
 
 
-@lru_cache(maxsize=1)
 def scanner(packed: bytes, window: int) -> Scanner:
     """One for each Python worker and shard."""
-    return Scanner(pickle.loads(zlib.decompress(packed)), window)
+    return kept(lambda: Scanner(pickle.loads(zlib.decompress(packed)), window), "scanner", packed, window)
 
 
 def shards(benchmark: DataFrame, item: str, text: str) -> Iterator[list[tuple[object, str | None]]]:

@@ -4,18 +4,21 @@ For each language a suffix automaton holds every substring of a bounded sample o
 parsed with it into phrases, each the longest match from where the last one ended; unseen characters are phrases
 of their own. Phrases times log2 of the sample's length, for each character, are bits; the language that needs
 fewest wins. Reading is a walk over a table (state, character) -> (state, phrases ended), so that many blocks of
-text are parsed at once, by all languages.
+text are parsed at once, by all languages. Blocks are only a way to walk: each begins in the state that the one before
+it ends in, which is guessed from a few characters before it, checked, and walked anew where the guess was wrong.
 
-Texts are lower-cased, everything but letters becomes one space, and the whole text is read in blocks of BLOCK
-characters, at whose borders phrases end. `score` is 1 - bits / bits of the next language (1 with one language).
+Texts are lower-cased and everything but letters becomes one space. Each letter of the samples has a spelling of its own
+in a small alphabet: one symbol for most, a row of symbols for the rare ones of large scripts. `score` is 1 - bits / bits
+of the next language (1 with one language).
 
 Defined results: null texts, texts without a letter, and all texts where nothing could be learned are `und` with
 score 0; ties go to the language that sorts first; rows with a null language are not learned from; repeated rows
-give one row each; further columns are ignored.
+give one row each; whole texts are read, however long; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -25,15 +28,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillon.llm._common import map_arrow
+from quillon.llm._common import kept, map_arrow
 
 #: Characters learned from in all and for each language at most, and rows of a language from which whole texts are taken.
 LEARNED, LEARNED_EACH, ROWS = 240_000, 60_000, 200
 #: Characters that any language may have, however many there are; slices of a language that has no whole text which fits.
 LEAST_EACH, SLICES = 1_000, 4
-#: Kinds of characters: space, letters by frequency, and the rest by code point.
-KINDS, FREQUENT = 64, 44
-BLOCK, HELD = 2048, 4_000_000
+#: Symbols at most, and letters with one of their own where there are more letters than that.
+SYMBOLS, FREQUENT = 64, 44
+#: Characters of a block, those before it from which its first state is guessed, and rounds in which wrong guesses are walked anew together.
+BLOCK, WARM, ROUNDS = 2048, 64, 4
+#: Symbols that are walked at once.
+HELD = 4_000_000
 NONE = "und"
 
 
@@ -48,34 +54,35 @@ def letters() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
-def automaton(kinds: bytes) -> list[dict[int, int]]:
-    """The suffix automaton of a string: each state's transitions; state 0 is the start."""
-    steps: list[dict[int, int]] = [{}]
-    link, length, last = [-1], [0], 0
-    for c in kinds:
-        new = len(steps)
-        steps.append({})
+def automaton(symbols: bytes, width: int, table: memoryview) -> int:
+    """The suffix automaton of a string, written to a table: rows of states, columns of symbols, -1 where there is no step; the number of states. State 0 is the start."""
+    none = array("i", [-1]) * width
+    table[:width] = none
+    link, length, last, states = [-1], [0], 0, 1
+    for c in symbols:
+        new, states = states, states + 1
+        table[new * width : states * width] = none
         link.append(0)
         length.append(length[last] + 1)
         p = last
-        while p >= 0 and c not in steps[p]:
-            steps[p][c] = new
+        while p >= 0 and table[p * width + c] < 0:
+            table[p * width + c] = new
             p = link[p]
         if p >= 0:
-            q = steps[p][c]
+            q = table[p * width + c]
             if length[q] == length[p] + 1:
                 link[new] = q
             else:
-                copy = len(steps)
-                steps.append(dict(steps[q]))
+                copy, states = states, states + 1
+                table[copy * width : states * width] = table[q * width : (q + 1) * width]
                 link.append(link[q])
                 length.append(length[p] + 1)
-                while p >= 0 and steps[p].get(c) == q:
-                    steps[p][c] = copy
+                while p >= 0 and table[p * width + c] == q:
+                    table[p * width + c] = copy
                     p = link[p]
                 link[q] = link[new] = copy
         last = new
-    return steps
+    return states
 
 
 class Languages:
@@ -84,63 +91,113 @@ class Languages:
     def __init__(self, samples: dict[str, str]):
         self.names = sorted(samples)
         points = {n: spelled(samples[n]) for n in self.names}
-        every = np.concatenate([p for p in points.values()] or [np.zeros(0, np.uint32)])
-        every = every[letters()[every]]
-        seen, count = np.unique(every, return_counts=True)
-        frequent = seen[np.lexsort((seen, -count))][:FREQUENT]
-        self.kind = np.where(letters(), (np.arange(0x110000) % (KINDS - FREQUENT - 1) + FREQUENT + 1), 0).astype(np.uint8)
-        self.kind[frequent] = np.arange(1, len(frequent) + 1)
-        tables, self.start, self.log, base = [], [], [], 0
-        for n in self.names:
-            text = self.kinds(points[n])
-            steps = automaton(text.tobytes())
-            root = np.full(KINDS, -1, np.int64)
-            for c, to in steps[0].items():
-                root[c] = to
-            table = np.empty((len(steps), KINDS), np.int64)
+        self.spell(np.concatenate([*points.values(), np.zeros(0, np.uint32)]))
+        texts = {n: self.symbols(points[n]) for n in self.names}
+        width = self.width
+        # room for all that could be; pages that no state needs are never touched
+        self.table = np.empty(sum(2 * len(t) + 1 for t in texts.values()) * width, np.int32) if samples else None
+        if self.table is not None and 4 * len(self.table) >= 1 << 31:
+            raise ValueError("the samples are too large for the table")
+        starts, logs, base = [], [], 0
+        for n, text in texts.items():
+            states = automaton(text.tobytes(), width, memoryview(self.table)[base:])
+            own = self.table[base : base + states * width].reshape(states, width)
+            root = own[0].copy()
             # where a match ends, the next phrase begins with the character at hand; unseen, that is one more phrase
-            table[:] = np.where(root >= 0, 4 * (base + np.maximum(root, 0) * KINDS) + 1, 4 * base + 2)
-            table[0] = np.where(root >= 0, table[0] - 1, 4 * base + 1)
-            for s, own in enumerate(steps):
-                for c, to in own.items():
-                    table[s, c] = 4 * (base + to * KINDS)
-            tables.append(table.ravel())
-            self.start.append(base)
-            self.log.append(np.log2(max(2, len(text))))
-            base += table.size
-        self.table = np.concatenate(tables).astype(np.int32 if 4 * base < 2**31 else np.int64) if tables else None
-        self.log = np.array(self.log)
-
-    def kinds(self, points: np.ndarray) -> np.ndarray:
-        """Kinds of a text's characters, each run of others than letters being one space."""
-        k = self.kind[points]
-        return k[(k > 0) | np.append(True, k[:-1] > 0)] if len(k) else k
+            ends = np.where(root >= 0, 4 * (base + np.maximum(root, 0) * width) + 1, 4 * base + 2)
+            for k in range(0, states, 4096):
+                part = own[k : k + 4096]
+                part[:] = np.where(part >= 0, 4 * (base + part * width), ends)
+            own[0] = np.where(root >= 0, ends - 1, 4 * base + 1)
+            starts.append(base)
+            logs.append(np.log2(max(2, len(text))))
+            base += states * width
+        self.start, self.log = np.array(starts, np.int32), np.array(logs)
+
+    def spell(self, points: np.ndarray) -> None:
+        """Spellings of the letters among the samples' points: symbol 0 is a space, the last one any letter that no sample has."""
+        seen, count = np.unique(points[letters()[points]], return_counts=True)
+        seen = seen[np.lexsort((seen, -count))]
+        short = seen if len(seen) <= SYMBOLS - 2 else seen[:FREQUENT]
+        self.width = len(short) + 2 if len(seen) == len(short) else SYMBOLS
+        self.symbol = np.where(letters(), self.width - 1, 0).astype(np.uint8)
+        self.symbol[short] = np.arange(1, len(short) + 1)
+        self.rare = seen[len(short) :]
+        if len(self.rare):
+            base, digits = SYMBOLS - 2 - FREQUENT, 1
+            while base**digits < len(self.rare):
+                digits += 1
+            self.symbol[self.rare] = 255
+            order = np.argsort(self.rare)
+            self.rare = self.rare[order]
+            self.digits = (FREQUENT + 1 + order[:, None] // base ** np.arange(digits) % base).astype(np.uint8)
+
+    def symbols(self, points: np.ndarray) -> np.ndarray:
+        """A text's symbols, each run of others than letters being one space."""
+        k = self.symbol[points]
+        k = k[(k > 0) | np.append(True, k[:-1] > 0)] if len(k) else k
+        if len(self.rare) and (long := k == 255).any():
+            n = self.digits.shape[1]
+            own = self.digits[np.searchsorted(self.rare, points[self.symbol[points] == 255])]
+            k = np.repeat(k, np.where(long, n, 1))
+            k[k == 255] = own.ravel()
+        return k
+
+    def walk(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(state, phrases ended) of each language and block, from the states given on."""
+        order = np.argsort(-size, kind="stable")
+        first, sizes, state = begin[order], size[order], state[:, order]
+        ended = np.zeros(state.shape, np.int32)
+        active = np.searchsorted(-sizes, -np.arange(sizes[0] if len(sizes) else 0), side="left")  # blocks longer than each place
+        for t, n in enumerate(active.tolist()):
+            cell = self.table[state[:, :n] + data[first[:n] + t]]
+            ended[:, :n] += cell & 3
+            state[:, :n] = cell >> 2
+        back = np.argsort(order)
+        return state[:, back], ended[:, back]
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
-        """(languages, texts): phrases that each text's kinds need."""
+        """(languages, texts): phrases that each text's symbols need."""
         sizes = np.array([len(t) for t in texts])
         data = np.concatenate([*texts, np.zeros(0, np.uint8)])
-        first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        place = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
         blocks = -(-sizes // BLOCK)
         text = np.repeat(np.arange(len(texts)), blocks)
         at = np.arange(len(text)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-        begin, size = first[text] + at * BLOCK, np.minimum(BLOCK, sizes[text] - at * BLOCK)
-        order = np.argsort(-size, kind="stable")
-        begin, size, text = begin[order], size[order], text[order]
-        start = np.array(self.start, self.table.dtype)[:, None]
-        state = np.repeat(start, len(text), axis=1)
-        ended = np.zeros(state.shape, np.int32)
-        active = np.searchsorted(-size, -np.arange(size[0] if len(size) else 0), side="left")  # blocks longer than each place
-        for t, n in enumerate(active.tolist()):
-            cell = self.table[state[:, :n] + data[begin[:n] + t]]
-            ended[:, :n] += cell & 3
-            state[:, :n] = cell >> 2
-        ended += state != start
+        begin, size = place[text] + at * BLOCK, np.minimum(BLOCK, sizes[text] - at * BLOCK)
+        entry = np.repeat(self.start[:, None], len(text), axis=1)
+        later = np.flatnonzero(at)
+        entry[:, later] = self.walk(data, begin[later] - WARM, np.full(len(later), WARM), entry[:, later])[0]
+        state, ended = self.walk(data, begin, size, entry)
+        for _ in range(ROUNDS):
+            wrong = later[(entry[:, later] != state[:, later - 1]).any(axis=0)]
+            if not len(wrong):
+                break
+            entry[:, wrong] = state[:, wrong - 1]
+            state[:, wrong], ended[:, wrong] = self.walk(data, begin[wrong], size[wrong], entry[:, wrong])
+        wrong = later[(entry[:, later] != state[:, later - 1]).any(axis=0)]
+        for k in np.unique(text[wrong]).tolist():
+            self.in_order(data, begin, size, np.flatnonzero(text == k), state, ended)
         out = np.zeros((len(self.names), len(texts)), np.int64)
+        last = np.flatnonzero(np.diff(text, append=-1))
         for k in range(len(self.names)):
             out[k] = np.bincount(text, ended[k], len(texts))
+            out[k, text[last]] += state[k, last] != self.start[k]
         return out
 
+    def in_order(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray, blocks: np.ndarray, state: np.ndarray, ended: np.ndarray) -> None:
+        """One text's blocks, one after the other: long runs of one pattern keep wrong guesses wrong."""
+        table = memoryview(self.table)
+        for k, start in enumerate(self.start.tolist()):
+            s = start
+            for b in blocks.tolist():
+                n = 0
+                for c in data[begin[b] : begin[b] + size[b]].tolist():
+                    cell = table[s + c]
+                    n += cell & 3
+                    s = cell >> 2
+                state[k, b], ended[k, b] = s, n
+
     def identify(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
         """(language, score, bits for each character) of each text."""
         names, scores, bits = [NONE] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
@@ -162,7 +219,7 @@ class Languages:
 
         size = 0
         for p, text in enumerate(texts):
-            k = self.kinds(spelled(text)) if text and self.table is not None else np.zeros(0, np.uint8)
+            k = self.symbols(spelled(text)) if text and self.table is not None else np.zeros(0, np.uint8)
             if k.any():
                 held.append(k)
                 places.append(p)
@@ -174,10 +231,9 @@ class Languages:
         return names, scores, bits
 
 
-@lru_cache(maxsize=1)
 def languages(samples: tuple[tuple[str, str], ...]) -> Languages:
     """One for each Python worker and set of samples."""
-    return Languages(dict(samples))
+    return kept(lambda: Languages(dict(samples)), "languages", samples)
 
 
 def learn(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id", only: Column | None = None) -> tuple[tuple[str, str], ...]:

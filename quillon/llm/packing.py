@@ -20,14 +20,13 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quillon.llm._common import map_arrow
+from quillon.llm._common import kept, map_arrow
 
 #: Documents in a block, on average.
 BLOCK = 1024
@@ -93,10 +92,9 @@ class Encoder:
             yield x if isinstance(x, bytes) else b"".join(map(words.__getitem__, x))
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     """One for each Python worker and file."""
-    return Encoder(path)
+    return kept(lambda: Encoder(path), "encoder", path)
 
 
 def differencing(lengths: list[int], windows: int) -> list[tuple[int, list[int]]]:

@@ -18,14 +18,13 @@ import re
 from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import accumulate
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from quillon.llm._common import map_arrow
+from quillon.llm._common import kept, map_arrow
 
 #: The word pattern of byte-level BPE, and for Latin-1 its letters, numbers and white space.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -230,10 +229,9 @@ class Counter:
         return sum(map(self.words.__getitem__, self.plain(text)))
 
 
-@lru_cache(maxsize=2)
 def counter(path: str) -> Counter:
     """One for each Python worker and file."""
-    return Counter(path)
+    return kept(lambda: Counter(path), "counter", path)
 
 
 def prefix_counts(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
