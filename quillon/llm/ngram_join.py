@@ -1,29 +1,33 @@
 """N-gram Jaccard join: a token-group matrix finds every pair of documents whose shingle sets are similar.
 
-Tokens are 64-bit hashes of five-word shingles; documents with equal sets are one class. The join is exact (but for
-collisions of 64-bit hashes) by these steps:
+Tokens are 64-bit hashes of five-word shingles; documents with equal sets are one class, and one document stands for
+it. The join is exact (but for collisions of 64-bit hashes) by these steps:
 
-1. Tokens have one order for all documents: by hash, but those of many documents last. Of similar sets the first
+1. Groups: each class names its SKETCH smallest tokens and goes to the group of the class that leads most of them, the
+   one whose tokens are held by most classes. Where it leads half of them, both are compared, so that most near copies are
+   connected by one comparison each.
+2. Tokens have one order for all classes: by hash, but those of many groups last. Of similar sets the first
    n - ceil(t * n) + NEED tokens share at least NEED, so only these prefixes are indexed. Which tokens count as
    frequent changes the work, not the result.
-2. Tokens that only one class has are dropped. Each class goes to the group of the class that leads most of its tokens,
-   the one whose tokens are held by most classes. It is compared with this leader, so that most near copies
-   are connected by one comparison each.
-3. The token-group matrix holds the union of each group's tokens. A class meets a group in as many tokens as both
-   hold, which bounds its overlap with each member. Only groups that reach the bound are opened: blocks of classes
-   are compared with blocks of members by their whole texts, unless both are connected already, and a block
-   returns no more links than connect it.
-4. Components of the links found are the result.
+3. The token-group matrix holds the union of each group's prefix tokens. It is dealt to tasks by token, as packed arrays;
+   a task tells of each class how many of its tokens each group holds. The sum bounds the overlap with every member, and
+   only groups that reach the bound, and are not connected with the class already, are opened: blocks of classes are
+   compared with blocks of members by their whole texts, and a block returns no more links than connect it.
+4. Components of all links are the result.
+
+The classes of a group of more than LARGE don't ask by tokens (its tokens are sent once by each task, however many classes
+hold them): all others ask it, two such groups are compared block by block if their unions meet, and so is one with itself
+unless it is connected.
 
 Defined results: null and empty texts, and texts of white space, have no shingles and are their own component; texts
-of fewer words than a shingle have one; repeated rows and ids give one row each (equal texts are one class); very
-long texts are read whole; an empty table gives no rows; further columns are ignored. Nothing is expanded into all
-pairs of a group of copies.
+of fewer words than a shingle have one; repeated rows and ids give one row each (equal texts are one class); rows with a
+null key link as all others do, and have a null component only if no row of it has a key; very long texts are read
+whole; an empty table gives no rows; further columns are ignored. Nothing is expanded into all pairs of a group of copies.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,23 +35,23 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm._common import components, map_arrow, small, written
+from quillon.llm._common import BATCH_BYTES, components, cut, map_arrow, small, written
 
 SIZE, PERCENT = 5, 75
 #: Tokens that prefixes of similar sets share at least (where the sets are large enough).
 NEED = 6
-#: A token of more documents counts as frequent; so many tokens may at most.
-FREQUENT, MOST_FREQUENT = 50, 1 << 20
+#: Smallest tokens by which groups are formed, and rounds of it.
+SKETCH, ROUNDS = 8, 2
+#: A token of more groups counts as frequent; so many tokens may at most.
+FREQUENT, MOST_FREQUENT = 20, 1 << 20
 #: Frequent tokens are looked for in prefixes by hash, and then within so many places of those found.
 NEAR = 12
-#: Rounds of comparisons with leaders, at most. One connects nearly all that later rounds would.
-ROUNDS = 1
-#: Classes on a side of a block.
-SIDE = 256
-#: Bits of the filter of tokens that several classes share, at most.
-FILTER_BITS = 1 << 28
+#: Tokens on a side of a block on average, members that are compared at once, members that one copy of a leader's text meets, and classes of a large group.
+SIDE, ONCE, MEMBERS, LARGE = 1 << 18, 512, 512, 1 << 16
+#: Parts that tokens are dealt to at least, tokens of a part on average at most, and tokens that a task holds before it sends them.
+PARTS, PART, HELD = 256, 1 << 20, 1 << 18
 #: Bytes of text that are read at once.
-SLICE = 2 << 20
+SLICE = 1 << 19
 
 ODD = np.random.default_rng(20240229).integers(1, 1 << 63, 600, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -146,195 +150,321 @@ def signed(x: np.ndarray) -> pa.Array:
 
 
 def describe(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """(key, n, cls): size and class of each document's set."""
+    """(key, h, n, cls, least): a hash of each document's key and text, its set's size, class and smallest tokens."""
     kind = dict(docs.dtypes)[key]
 
     def over(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sizes, classes = [], []
-        for _, texts in slices(batch.column(1)):
+        sizes, classes, least = [], [], []
+        for _, texts in slices(batch.column(2)):
             for s in texts:
                 s = np.unique(s)
                 sizes.append(len(s))
                 classes.append(class_of(s) if len(s) else None)
-        return pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64())], names=[key, "n", "cls"])
+                least.append(s[:SKETCH].view(np.int64))
+        return pa.record_batch([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(least, pa.list_(pa.int64()))], names=[key, "h", "n", "cls", "least"])
 
-    return map_arrow(docs.select(key, text), over, f"{key} {kind}, n long, cls long")
+    return map_arrow(docs.select(key, hash_of(key, text).alias("h"), text), over, f"{key} {kind}, h long, n long, cls long, least array<long>")
 
 
-def most_frequent(counted: DataFrame, frequent: int) -> np.ndarray:
-    """The tokens of more than so many rows (token, c), the most frequent ones if there are too many; sorted."""
-    got = counted.where(F.col("c") > frequent).orderBy(F.desc("c"), "token").limit(MOST_FREQUENT).select("token").toArrow()["token"].to_numpy()
-    return np.sort(got.astype(np.int64).view(np.uint64))
+def hash_of(key: str, text: str) -> Column:
+    """One number that names a document: rows with the same key and text are the same one."""
+    return F.xxhash64(key, F.coalesce(F.col(text), F.lit("")))
 
 
-def find_frequent(docs: DataFrame, text: str, frequent: int, percent: int, need: int) -> np.ndarray:
-    """Frequent tokens of several classes: those in prefixes by hash, and of the tokens near them in texts (passages are frequent as a whole)."""
-    by_hash = prefixes(docs, text, np.zeros(0, np.uint64), percent, need).select("token")
-    seeds = most_frequent(by_hash.groupBy("token").agg(F.count("*").alias("c")), frequent)
-    if not len(seeds):
-        return seeds
-    held = docs.sparkSession.sparkContext.broadcast(seeds)
-
-    def over(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for _, texts in slices(batch.column(0)):
-            tokens, classes = [], []
-            for s in texts:
-                hit = among(s, held.value)
-                if hit.any():
-                    near = np.zeros(len(s) + 2 * NEAR + 1, np.int32)
-                    at = np.flatnonzero(hit)
-                    np.add.at(near, at, 1)
-                    np.add.at(near, at + 2 * NEAR + 1, -1)
-                    found = np.unique(s[np.cumsum(near)[NEAR : NEAR + len(s)] > 0])
-                    tokens.append(found)
-                    classes.append(np.full(len(found), class_of(np.unique(s)), np.int64))
-            if tokens:
-                yield pa.record_batch([pa.array(np.concatenate(classes)), signed(np.concatenate(tokens))], names=["cls", "token"])
+def numbered(classes: DataFrame) -> DataFrame:
+    """The rows, written, with dense numbers `num` from 0 on; as many counts come to the driver as there are files."""
+    made = written(classes.withColumn("_at", F.monotonically_increasing_id()), "classes")
+    file, begin, offsets = F.shiftright("_at", 33), 0, []
+    for p, c in sorted(map(tuple, made.groupBy(file.alias("p")).count().collect())):
+        offsets.append((p, begin))
+        begin += c
+    told = made.sparkSession.createDataFrame(offsets, "_p long, _begin long")
+    return made.join(F.broadcast(told), file == F.col("_p")).withColumn("num", F.col("_begin") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_at", "_p", "_begin")
 
-    near = map_arrow(docs.select(text), over, "cls long, token long")
-    return most_frequent(near.groupBy("token").agg(F.count("*").alias("c"), F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi"), frequent)
 
+def with_texts(wanted: DataFrame, docs: DataFrame, text: str, key: str, columns: list[str]) -> DataFrame:
+    """The columns of a written table (h, ...) with `_text`, the text of the document that h names."""
+    found = docs.select(hash_of(key, text).alias("h"), F.col(text).alias("_text"))
+    return found.join(small(wanted, 24 + 8 * len(columns)), "h").select(*columns, "_text")
 
-def probes(tokens: np.ndarray, bits: int) -> Iterator[np.ndarray]:
-    yield tokens & np.uint64(bits - 1)
-    yield (tokens >> np.uint64(32)) & np.uint64(bits - 1)
 
+# -- groups -----------------------------------------------------------------------------------------------------------
 
-def prefixes(docs: DataFrame, text: str, frequent: np.ndarray, percent: int, need: int, only: tuple[np.ndarray, int] | None = None) -> DataFrame:
-    """(token, cls) of each document's prefix; with a filter only what may be in it."""
-    sc = docs.sparkSession.sparkContext
-    held, passed = sc.broadcast(frequent), sc.broadcast(only)
 
-    def over(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for _, texts in slices(batch.column(0)):
-            tokens, classes = [], []
-            for s in texts:
-                if len(s):
-                    s = np.unique(s)
-                    own = prefix(s, held.value, percent, need)
-                    if passed.value is not None:
-                        words, bits = passed.value
-                        keep = np.ones(len(own), bool)
-                        for p in probes(own, bits):
-                            keep &= ((words[p >> np.uint64(5)] >> (p & np.uint64(31)).astype(np.uint32)) & np.uint32(1)).astype(bool)
-                        own = own[keep]
-                    if len(own):
-                        tokens.append(own)
-                        classes.append(np.full(len(own), class_of(s), np.int64))
-            if tokens:
-                yield pa.record_batch([signed(np.concatenate(tokens)), pa.array(np.concatenate(classes))], names=["token", "cls"])
-
-    return map_arrow(docs.select(text), over, "token long, cls long")
-
-
-def filter_of(tokens: DataFrame, count: int) -> tuple[np.ndarray, int] | None:
-    """A Bloom filter of a written table's tokens in words of 32 bits; None where it would be too large."""
-    bits = 1 << max(10, int(16 * count - 1).bit_length())
-    if bits > FILTER_BITS:
-        return None
-    place = F.explode(F.array(F.col("token").bitwiseAND(bits - 1), F.expr("shiftrightunsigned(token, 32)").bitwiseAND(bits - 1)))
-    got = tokens.select(place.alias("p")).groupBy(F.expr("shiftright(p, 5)").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 31 as int))")).alias("b")).toArrow()
-    words = np.zeros(max(1, bits // 32), np.uint32)
-    words[got["w"].to_numpy().astype(np.int64)] = got["b"].to_numpy().astype(np.uint32)
-    return words, bits
-
-
-def shared_tokens(docs: DataFrame, text: str, frequent: np.ndarray, percent: int, need: int) -> DataFrame:
-    """(token, cls) of prefix tokens that several classes have."""
-    every = prefixes(docs, text, frequent, percent, need)
-    shared = written(every.groupBy("token").agg(F.min("cls").alias("lead"), F.max("cls").alias("hi")).where("lead < hi").select("token"), "shared")
-    # the rows of shared tokens are few: a second reading passes them through a filter instead of shuffling all
-    own = prefixes(docs, text, frequent, percent, need, filter_of(shared, shared.count()))
-    return own.distinct().join(shared, "token").select("token", "cls")
+def alike(a: Column, b: Column, percent: int) -> Column:
+    """Whether sets of sizes a and b can be similar."""
+    return (F.least(a, b) * 100) >= (F.greatest(a, b) * percent)
 
 
-def needed(a: Column, b: Column, percent: int, need: int) -> Column:
-    """Prefix tokens that sets of sizes a and b share if they are similar."""
-    return F.least(F.lit(need), F.ceil(F.least(a, b) * percent / 100))
+def of_several(rows: DataFrame, name: str) -> DataFrame:
+    """The rows (token, num, n, grp) of tokens that several groups have, as a written table."""
+    several = rows.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi").select("token")
+    return written(rows.join(several, "token"), name)
 
 
-def alike(a: Column, b: Column, percent: int) -> Column:
-    """Whether sets of sizes a and b can be similar."""
-    return (F.least(a, b) * 100) >= (F.greatest(a, b) * percent)
+def leaders(rows: DataFrame, order: Column, percent: int) -> DataFrame:
+    """(a, b, strong): each class with the leader of most of its tokens in another component, two at least; strong: half of them, and sizes are alike. Leaders come first by an order."""
+    lead = rows.groupBy("token").agg(F.max(F.struct(order.alias("o"), "num", "grp", "n")).alias("l"))
+    led = rows.join(lead.select("token", F.col("l.num").alias("lead"), F.col("l.grp").alias("other"), F.col("l.n").alias("m")), "token").where("grp <> other")
+    strong = alike(F.col("n"), F.col("m"), percent) & (F.col("c") * 2 >= F.least("n", "m", F.lit(SKETCH)))
+    led = led.groupBy("num", "n", "lead", "m").agg(F.count("*").alias("c")).withColumn("strong", strong).where("strong or c >= 2")
+    best = led.groupBy("num").agg(F.max(F.struct("strong", "c", "lead")).alias("b"))
+    return written(best.select(F.col("num").alias("a"), F.col("b.lead").alias("b"), F.col("b.strong").alias("strong")), "led")
 
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str, key: str, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose sets are similar, decided on whole texts."""
-    pairs = written(pairs, "pairs")
-    ends = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    wanted = written(ends.join(classes, "cls").select("cls", "id"), "wanted")
-    texts = texts_of(wanted, docs, text, key)
-    left, right = texts.select(F.col("cls").alias("a"), F.col("_text").alias("x")), texts.select(F.col("cls").alias("b"), F.col("_text").alias("y"))
-    both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y")
+    """The pairs (class a, leader b) whose sets are similar, decided on whole texts. A leader's text goes to its members', MEMBERS of them at a time."""
+    spread = small(written(pairs.groupBy("b").agg(F.ceil(F.count("*") / MEMBERS).alias("wide")), "spread"), 24)
+    members = pairs.join(spread, "b").select(F.col("a").alias("num"), "b", F.pmod(F.xxhash64("a"), F.col("wide")).alias("i"), F.lit(1).alias("side"))
+    lead = spread.select(F.col("b").alias("num"), "b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("wide") - 1)).alias("i"), F.lit(0).alias("side"))
+    wanted = written(members.unionByName(lead).join(classes.select("num", "h"), "num"), "wanted")
+    dealt = with_texts(wanted, docs, text, key, ["num", "b", "i", "side"]).repartition("b", "i").sortWithinPartitions("b", "i", "side")
 
-    def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x = [np.unique(s) for _, some in slices(batch.column(2)) for s in some]
-        y = [np.unique(s) for _, some in slices(batch.column(3)) for s in some]
-        keep = []
-        for s, t in zip(x, y, strict=True):
-            met = int(among(s, t).sum())
-            keep.append(100 * met >= percent * (len(s) + len(t) - met))
-        return batch.select(["a", "b"]).filter(pa.array(keep))
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, own = None, None
+        for whole in batches:
+            for batch in cut(whole, BATCH_BYTES):
+                out = ([], [])
+                sets = (np.unique(s) for _, some in slices(batch.column(4)) for s in some)
+                for num, b, i, side, s in zip(*(batch.column(k).to_pylist() for k in range(4)), sets, strict=True):
+                    if side == 0:
+                        block, own = (b, i), s
+                    elif block == (b, i):
+                        met = int(among(s, own).sum())
+                        if 100 * met >= percent * (len(s) + len(own) - met):
+                            out[0].append(num)
+                            out[1].append(b)
+                yield pa.record_batch([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], names=["a", "b"])
+
+    return written(dealt.mapInArrow(compare, "a long, b long"), "linked")
+
+
+def form_groups(classes: DataFrame, docs: DataFrame, text: str, key: str, percent: int) -> tuple[DataFrame, DataFrame | None]:
+    """(num, n, h, hub, grp) of the classes, written, and the links found. hub names the class's group; grp, what it is connected with so far."""
+    rows = of_several(classes.select(F.explode("least").alias("token"), "num", "n", F.col("num").alias("grp")), "sketch")
+    held = rows.groupBy("token").agg(F.count("*").alias("c"))
+    weight = rows.join(held, "token").groupBy("num").agg(F.sum("c").alias("weight"))
+    rows = written(rows.join(weight, "num"), "weighed")
+    links = groups = hubs = None
+    for k in range(ROUNDS):
+        led = leaders(rows, F.xxhash64("num", F.lit(k)) if k else F.col("weight"), percent)
+        hubs = led.select(F.col("a").alias("num"), F.col("b").alias("hub")) if hubs is None else hubs
+        found = verified(led.where("strong").select("a", "b"), classes, docs, text, key, percent)
+        if found.isEmpty():
+            break
+        links = found if links is None else links.unionByName(found)
+        groups = components(links, "groups").select(F.col("node").alias("num"), F.col("component").alias("grp"))
+        rows = of_several(rows.drop("grp").join(groups, "num", "left").withColumn("grp", F.coalesce("grp", "num")), "grouped")
+    own = classes.select("num", "n", "h").join(hubs, "num", "left").withColumn("hub", F.coalesce("hub", "num"))
+    own = own.withColumn("grp", F.col("num")) if groups is None else own.join(groups, "num", "left").withColumn("grp", F.coalesce("grp", "num"))
+    return written(own, "grouped"), links
+
+
+# -- tokens, dealt to parts ---------------------------------------------------------------------------------------------
+
+
+def parts_for(tokens: int) -> int:
+    """A power of two."""
+    return max(PARTS, 1 << max(0, -(-tokens // PART) - 1).bit_length())
+
+
+def packed(made: Iterator[tuple], parts: int) -> Iterator[pa.RecordBatch]:
+    """(part, blob) of (tokens, numbers beside them): the tokens of a part, then each number repeated for its tokens. Equal rows of what is held together are sent once."""
+    held: list[tuple] = []
+    size = 0
+
+    def sent() -> pa.RecordBatch:
+        tokens = np.concatenate([h[0] for h in held])
+        many = [len(h[0]) for h in held]
+        beside = [np.repeat(np.array(column, np.uint64), many) for column in list(zip(*held, strict=True))[1:]]
+        part = tokens & np.uint64(parts - 1)
+        order = np.lexsort((*reversed(beside), tokens, part))
+        columns = [c[order] for c in (part, tokens, *beside)]
+        new = np.zeros(len(tokens), bool)
+        new[:1] = True
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+        if not beside:
+            new[:] = True
+        part, *columns = (c[new] for c in columns)
+        first = np.flatnonzero(np.diff(part, prepend=part[:1] + np.uint64(1)))
+        small_enough = not beside or max(c.max() for c in columns[1:]) < 1 << 32
+        columns = [columns[0], *(c.astype(np.uint32) if small_enough else c for c in columns[1:])]
+        blobs = [(b"\0" if small_enough else b"\1") + b"".join(c[a:z].tobytes() for c in columns) for a, z in zip(first.tolist(), [*first[1:].tolist(), len(part)], strict=True)]
+        return pa.record_batch([pa.array(part[first].astype(np.int64)), pa.array(blobs, pa.binary())], names=["part", "blob"])
+
+    for row in made:
+        if len(row[0]):
+            held.append(row)
+            size += len(row[0])
+            if size > HELD:
+                yield sent()
+                held, size = [], 0
+    if held:
+        yield sent()
+
+
+def opened_blob(blob: bytes, beside: int) -> list[np.ndarray]:
+    """The columns of a blob of `packed`."""
+    kind = np.dtype("<u8" if blob[:1] == b"\1" else "<u4")
+    n = (len(blob) - 1) // (8 + beside * kind.itemsize)
+    out, at = [np.frombuffer(blob, "<u8", n, 1)], 1 + 8 * n
+    for _ in range(beside):
+        out.append(np.frombuffer(blob, kind, n, at).astype(np.uint64))
+        at += n * kind.itemsize
+    return out
 
-    return written(map_arrow(both, compare, "a long, b long"), "linked")
 
+def by_part(dealt: DataFrame, beside: int, function: Callable[..., Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """What the function makes of the columns of each part."""
 
-def first_tokens(n: Column, percent: int, need: int) -> Column:
-    """The size of a prefix."""
-    return F.least(n, n - F.ceil(n * percent / 100) + need)
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held = None, []
 
+        def done() -> Iterator[pa.RecordBatch]:
+            if held:
+                columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+                held.clear()
+                yield from function(*columns)
 
-def of_several(rows: DataFrame, name: str) -> DataFrame:
-    """The rows (token, cls, n, grp) of tokens that several groups have, as a written table."""
-    several = rows.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi").select("token")
-    return written(rows.join(several, "token"), name)
+        for batch in batches:
+            for p, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if p != part:
+                    yield from done()
+                    part = p
+                held.append(opened_blob(blob.as_py(), beside))
+        yield from done()
 
+    return dealt.repartition("part").sortWithinPartitions("part").mapInArrow(over, schema)
 
-def leaders(rows: DataFrame, order: Column, percent: int, need: int) -> DataFrame:
-    """(a, b, p, q, strong): each class with the leader of most of its tokens, at least a fifth of a prefix, and the groups of both; strong: at least half. Leaders come first by an order."""
-    lead = rows.groupBy("token").agg(F.max(F.struct(order.alias("o"), "cls", "grp", "n")).alias("l"))
-    led = rows.join(lead.select("token", F.col("l.cls").alias("lead"), F.col("l.grp").alias("other"), F.col("l.n").alias("m")), "token").where("grp <> other")
-    led = led.groupBy("cls", "n", "grp", "lead", "m", "other").agg(F.count("*").alias("c")).where(alike(F.col("n"), F.col("m"), percent))
-    size = first_tokens(F.least("n", "m"), percent, need)
-    led = led.where((F.col("c") * 5 >= size) & (F.col("c") >= needed(F.col("n"), F.col("m"), percent, need))).withColumn("strong", F.col("c") * 2 >= size)
-    best = led.groupBy("cls").agg(F.max(F.struct("c", "lead", "grp", "other", "strong")).alias("b"))
-    return written(best.select(F.col("cls").alias("a"), F.col("b.lead").alias("b"), F.col("b.grp").alias("p"), F.col("b.other").alias("q"), F.col("b.strong").alias("strong")), "led")
 
+def each_set(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[tuple]:
+    """(other columns, shingles in order) of each row; the text is the last column."""
+    for whole in batches:
+        for batch in cut(whole, BATCH_BYTES):
+            sets = (s for _, some in slices(batch.column(columns)) for s in some)
+            yield from zip(*(batch.column(k).to_pylist() for k in range(columns)), sets, strict=True)
 
-def form_groups(rows: DataFrame, classes: DataFrame, docs: DataFrame, text: str, key: str, percent: int, need: int) -> tuple[DataFrame, DataFrame | None]:
-    """(rows with hub, the class whose group theirs is, and grp, what is connected so far; links found)."""
-    held = rows.groupBy("token").agg(F.count("*").alias("c"))
-    weight = rows.join(held, "token").groupBy("cls").agg(F.sum("c").alias("weight"))
-    rows = written(rows.join(weight, "cls"), "weighed")
-    found = hubs = None
-    for k in range(ROUNDS):
-        best = leaders(rows, F.xxhash64("cls", F.lit(k)) if k else F.col("weight"), percent, need)
-        if hubs is None:
-            hubs = best.select(F.col("a").alias("cls"), F.col("b").alias("hub"))
-        links = verified(best.where("strong").select("a", "b"), classes, docs, text, key, percent)
-        if links.isEmpty():
-            break
-        found = links if found is None else found.unionByName(links)
-        merged = components(best.join(links, ["a", "b"]).select(F.col("p").alias("a"), F.col("q").alias("b")), "merged")
-        rows = rows.join(merged, F.col("grp") == F.col("node"), "left").select("token", "cls", "n", "weight", F.coalesce("component", "grp").alias("grp"))
-        rows = of_several(rows, "grouped")
-    return written(rows.join(hubs, "cls", "left").select("token", "cls", "n", "grp", F.coalesce("hub", "cls").alias("hub")), "hubs"), found
 
+def most_frequent(dealt: DataFrame, frequent: int) -> np.ndarray:
+    """The tokens dealt more than so many times, the most frequent ones if there are too many; sorted."""
 
-def texts_of(wanted: DataFrame, docs: DataFrame, text: str, key: str) -> DataFrame:
-    """(cls, _text) of the classes wanted (cls, id), as a written table; a row of the id whose text has another class is left out."""
-    ids = small(wanted.select("cls", F.col("id").alias("_id")), 40)
+    def count(tokens: np.ndarray) -> Iterator[pa.RecordBatch]:
+        found, c = np.unique(tokens, return_counts=True)
+        keep = c > frequent
+        yield pa.record_batch([signed(found[keep]), pa.array(c[keep])], names=["token", "c"])
+
+    got = by_part(dealt, 0, count, "token long, c long").orderBy(F.desc("c"), "token").limit(MOST_FREQUENT).select("token").toArrow()["token"].to_numpy()
+    return np.sort(got.astype(np.int64).view(np.uint64))
+
+
+def find_frequent(classes: DataFrame, docs: DataFrame, text: str, key: str, frequent: int, percent: int, need: int, parts: int) -> np.ndarray:
+    """Tokens of many groups, each seen by one class: those in prefixes by hash, and of the tokens near them in texts (passages are frequent as a whole)."""
+    firsts = written(classes.where("num = grp").select("h"), "firsts")
+    none = np.zeros(0, np.uint64)
+
+    def by_hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from packed(((prefix(np.unique(s), none, percent, need),) for (s,) in each_set(batches, 0)), parts)
+
+    seeds = most_frequent(with_texts(firsts, docs, text, key, []).mapInArrow(by_hash, "part long, blob binary"), frequent)
+    if not len(seeds):
+        return seeds
+    held = docs.sparkSession.sparkContext.broadcast(seeds)
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found() -> Iterator[tuple]:
+            for (s,) in each_set(batches, 0):
+                hit = among(s, held.value)
+                if hit.any():
+                    reach = np.zeros(len(s) + 2 * NEAR + 1, np.int32)
+                    at = np.flatnonzero(hit)
+                    np.add.at(reach, at, 1)
+                    np.add.at(reach, at + 2 * NEAR + 1, -1)
+                    yield (np.unique(s[np.cumsum(reach)[NEAR : NEAR + len(s)] > 0]),)
+
+        yield from packed(found(), parts)
+
+    return most_frequent(with_texts(firsts, docs, text, key, []).mapInArrow(near, "part long, blob binary"), frequent)
+
+
+def needed(a: Column, b: Column, percent: int, need: int) -> Column:
+    """Prefix tokens that sets of sizes a and b share if they are similar."""
+    return F.least(F.lit(need), F.ceil(F.least(a, b) * percent / 100))
 
-    def same(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own = [class_of(np.unique(s)) if len(s) else None for _, some in slices(batch.column(1)) for s in some]
-        return batch.filter(pc.equal(batch.column(0), pa.array(own, pa.int64())))
 
-    found = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text")).join(ids, "_id")
-    return written(map_arrow(found.select("cls", "_text"), same, "cls long, _text string").dropDuplicates(["cls"]), "texts")
+def asked(tokens: np.ndarray, hubs: np.ndarray, refs: np.ndarray, sizes: np.ndarray, percent: int, need: int) -> Iterator[pa.RecordBatch]:
+    """(num, hub, g, c, tiny): in c of these tokens the class num of the group hub meets classes of alike size in the group g; tiny: one of them has too few tokens to share `need`.
+
+    A ref is 2 * (num + 1), plus 1 if the class asks its own group too; 0 stands for all classes of a large group, then num is
+    null. Of two groups that meet, the smaller one's classes ask; those of a large one never do, but two of these meet as groups.
+    """
+    order = np.lexsort((refs, hubs, tokens))
+    columns = [x[order].astype(np.int64) for x in (tokens, hubs, refs, sizes)]
+    start = lambda *some: np.append(True, np.any([x[1:] != x[:-1] for x in some], axis=0))[: len(some[0])]
+    new = start(*columns[:3])
+    tokens, hubs, refs, sizes = (x[new] for x in columns)
+    first = np.flatnonzero(start(tokens))
+    last = np.append(first[1:], len(tokens)) - 1
+    several = np.repeat((hubs[first] != hubs[last]) | (refs[first] != refs[last]) & (refs[first] & 1 > 0), last - first + 1) if len(first) else new
+    tokens, hubs, refs, sizes = (x[several] for x in (tokens, hubs, refs, sizes))
+    if not len(tokens):
+        return
+    head = start(tokens, hubs)
+    cell, at = np.cumsum(head) - 1, np.flatnonzero(head)  # of each row, its place among the pairs (token, group)
+    own, large, held, token = hubs[head], refs[head] == 0, np.bincount(cell), tokens[head]
+    low, high = np.where(large, 0, np.minimum.reduceat(sizes, at)), np.where(large, 1 << 40, np.maximum.reduceat(sizes, at))
+    begin = np.maximum.accumulate(np.where(start(token), np.arange(len(token)), 0))
+    end = np.append(np.flatnonzero(start(token))[1:], len(token))[np.cumsum(start(token)) - 1]
+    reach = (end - begin)[cell]
+    total, k = np.append(0, np.cumsum(reach)), 0
+    while k < len(reach):
+        stop = max(k + 1, int(np.searchsorted(total, total[k] + HELD, "right")) - 1)
+        many = reach[k:stop]
+        mine = np.repeat(np.arange(k, stop), many)
+        to = np.repeat(begin[cell[k:stop]] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        ask, same, later = refs[mine] > 0, own[to] == hubs[mine], own[to] > hubs[mine]
+        alike = (high[to] * 100 >= sizes[mine] * percent) & (sizes[mine] * 100 >= low[to] * percent)
+        keep = np.where(same, ask & alike & (refs[mine] & 1 > 0) & (held[to] > 1), np.where(ask, alike & (large[to] | later), large[to] & later))
+        mine, to = mine[keep], to[keep]
+        ref, hub, g, tiny = refs[mine], hubs[mine], own[to], np.minimum(sizes[mine], low[to]) * percent <= 100 * (need - 1)
+        order = np.lexsort((g, hub, ref))
+        ref, hub, g, tiny = ref[order], hub[order], g[order], tiny[order]
+        new = np.flatnonzero(start(ref, hub, g))
+        if len(new):
+            told = [pa.array(ref[new] // 2 - 1, mask=ref[new] == 0), pa.array(hub[new]), pa.array(g[new]), pa.array(np.diff(np.append(new, len(ref)))), pa.array(np.logical_or.reduceat(tiny, new))]
+            yield pa.record_batch(told, names=["num", "hub", "g", "c", "tiny"])
+        k = stop
+
+
+def questions(classes: DataFrame, docs: DataFrame, text: str, key: str, frequent: np.ndarray, percent: int, need: int, parts: int) -> DataFrame:
+    """(num, hub, g): the groups that each class must be compared with; a null num stands for all classes of a group."""
+    held = docs.sparkSession.sparkContext.broadcast(frequent)
+    sizes = classes.groupBy("hub").agg(F.count("*").alias("size"), F.min("n").alias("least"), F.max("n").alias("most"), F.min("grp").alias("lo"), F.max("grp").alias("hi"))
+    sizes = written(sizes, "sizes")
+    large = F.col("size") > LARGE
+    special = written(sizes.where(large | (F.col("lo") < F.col("hi"))).select("hub", large.alias("large"), (F.col("lo") < F.col("hi")).alias("mixed")), "special")
+    ref = F.when(F.col("large"), 0).otherwise((F.col("num") + 1) * 2 + F.coalesce(F.col("mixed"), F.lit(False)).cast("long"))
+    own_size = F.when(F.col("large"), 0).otherwise(F.col("n"))
+    wanted = written(classes.join(small(special, 24), "hub", "left").select("h", "hub", ref.alias("ref"), own_size.alias("size")), "indexed")
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from packed(((prefix(np.unique(s), held.value, percent, need), hub, ref, size) for hub, ref, size, s in each_set(batches, 3)), parts)
+
+    dealt = with_texts(wanted, docs, text, key, ["hub", "ref", "size"]).mapInArrow(over, "part long, blob binary")
+    met = by_part(dealt, 3, lambda *columns: asked(*columns, percent, need), "num long, hub long, g long, c long, tiny boolean")
+    met = met.groupBy("num", "hub", "g").agg(F.sum("c").alias("c"), F.max("tiny").alias("tiny"))
+    met = written(met.where((F.col("c") >= need) | F.col("tiny") | F.col("num").isNull()), "met")
+    own, g = sizes.select("hub", "least", "most"), sizes.select(F.col("hub").alias("g"), F.col("least").alias("low"), F.col("most").alias("high"), "lo", "hi")
+    one = met.where("num is not null").join(classes.select("num", F.col("n").alias("least"), F.col("n").alias("most"), "grp"), "num")
+    all_of = met.where("num is null").join(own, "hub").withColumn("grp", F.lit(None).cast("long"))
+    both = one.select(all_of.columns).unionByName(all_of).join(g, "g").where("grp is null or lo <> grp or hi <> grp")
+    both = both.where(F.col("c") >= needed(F.col("least"), F.col("low"), percent, need))
+    both = both.where((F.col("high") * 100 >= F.col("least") * percent) & (F.col("most") * 100 >= F.col("low") * percent)).select("num", "hub", "g")
+    return both.unionByName(special.where("large and mixed").select(F.lit(None).cast("long").alias("num"), "hub", F.col("hub").alias("g")))
 
 
 def compared(left: list[tuple], right: list[tuple], percent: int) -> list[tuple[int, int]]:
-    """Links that connect what is similar between two blocks of (cls, grp, set); what is connected already isn't compared."""
+    """Links that connect what is similar between two blocks of (num, grp, set); what is connected already isn't compared."""
     parent = {g: g for _, g, _ in left + right}
 
     def root(g: int) -> int:
@@ -343,98 +473,102 @@ def compared(left: list[tuple], right: list[tuple], percent: int) -> list[tuple[
             g = parent[g]
         return g
 
-    sizes = np.array([len(s) for _, _, s in right])
-    tokens = np.concatenate([s for _, _, s in right])
-    owner = np.repeat(np.arange(len(right)), sizes)
-    order = np.argsort(tokens, kind="stable")
-    tokens, owner = tokens[order], owner[order]
     out = []
-    for cls, grp, own in left:
-        mine = root(grp)
-        if all(root(g) == mine for _, g, _ in right):
-            continue
-        low, high = np.searchsorted(tokens, own, "left"), np.searchsorted(tokens, own, "right")
-        reach = high - low
-        at = np.repeat(low - np.cumsum(reach) + reach, reach) + np.arange(reach.sum())
-        met = np.bincount(owner[at], minlength=len(right))
-        for k in np.flatnonzero(100 * met >= percent * (len(own) + sizes - met)).tolist():
-            other = root(right[k][1])
-            if right[k][0] != cls and other != mine:
-                parent[other] = mine
-                out.append((cls, right[k][0]))
+    for begin in range(0, len(right), ONCE):
+        some = right[begin : begin + ONCE]
+        sizes = np.array([len(s) for _, _, s in some])
+        tokens = np.concatenate([s for _, _, s in some])
+        owner = np.repeat(np.arange(len(some)), sizes)
+        order = np.argsort(tokens, kind="stable")
+        tokens, owner = tokens[order], owner[order]
+        for num, grp, own in left:
+            mine = root(grp)
+            if all(root(g) == mine for g in {g for _, g, _ in some}):
+                continue
+            low, high = np.searchsorted(tokens, own, "left"), np.searchsorted(tokens, own, "right")
+            reach = high - low
+            at = np.repeat(low - np.cumsum(reach) + reach, reach) + np.arange(reach.sum())
+            met = np.bincount(owner[at], minlength=len(some))
+            for k in np.flatnonzero(100 * met >= percent * (len(own) + sizes - met)).tolist():
+                other = root(some[k][1])
+                if some[k][0] != num and other != mine:
+                    parent[other] = mine
+                    out.append((num, some[k][0]))
     return out
 
 
-def open_groups(opened: DataFrame, members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between the classes of opened (cls, grp, hub) and the members (cls, grp, hub) of these groups.
+def open_groups(asking: DataFrame, classes: DataFrame, docs: DataFrame, text: str, key: str, percent: int) -> DataFrame:
+    """Links (a, b) between classes and the members of the groups that they must be compared with.
 
-    Both sides are dealt to blocks of about SIDE classes by hash, and each block of one side meets each of the other,
+    Both sides are dealt to blocks of about SIDE tokens by hash, and each block of one side meets each of the other,
     so no task holds a whole group.
     """
-    sizes = members.groupBy("hub").agg(F.ceil(F.count("*") / SIDE).alias("wide")).join(opened.groupBy("hub").agg(F.ceil(F.count("*") / SIDE).alias("high")), "hub")
-    sizes = written(sizes, "sizes")
-    own = lambda n: F.pmod(F.xxhash64("cls"), F.col(n))
+    named = classes.select("num", "n", "grp")
+    asking = written(asking, "asking")
+    whole = asking.where("num is null").drop("num").join(classes.select("hub", "num", "n", "grp"), "hub").select("num", "n", "grp", "g")
+    opened = written(asking.where("num is not null").join(named, "num").select("num", "n", "grp", "g").unionByName(whole), "opened")
+    high = written(opened.groupBy("g").agg(F.ceil(F.sum("n") / SIDE).alias("high")), "high")
+    members = written(classes.select("num", "n", "grp", F.col("hub").alias("g")).join(small(high, 24), "g"), "members")
+    sizes = written(members.groupBy("g").agg(F.ceil(F.sum("n") / SIDE).alias("wide"), F.first("high").alias("high")), "sizes")
+    own = lambda n: F.pmod(F.xxhash64("num"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    left = opened.join(sizes, "hub").select("cls", "grp", "hub", own("high").alias("i"), every("wide").alias("j"), F.lit(0).alias("side"))
-    right = members.join(sizes, "hub").select("cls", "grp", "hub", every("high").alias("i"), own("wide").alias("j"), F.lit(1).alias("side"))
-    dealt = left.unionByName(right).join(texts, "cls").repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "side")
+    left = opened.join(small(sizes, 32), "g").select("num", "grp", "g", own("high").alias("i"), every("wide").alias("j"), F.lit(0).alias("side"))
+    right = members.drop("high").join(small(sizes, 32), "g").select("num", "grp", "g", every("high").alias("i"), own("wide").alias("j"), F.lit(1).alias("side"))
+    wanted = written(left.unionByName(right).join(classes.select("num", "h"), "num"), "wanted")
+    dealt = with_texts(wanted, docs, text, key, ["num", "grp", "g", "i", "j", "side"]).repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "side")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, sides = None, ([], [])
 
-        def links() -> list[tuple[int, int]]:
-            return compared(*sides, percent) if sides[0] and sides[1] else []
+        def links() -> pa.RecordBatch:
+            out = compared(*sides, percent) if sides[0] and sides[1] else []
+            return pa.record_batch([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
+
+        for num, grp, g, i, j, side, s in each_set(batches, 6):
+            if (g, i, j) != block:
+                yield links()
+                block, sides = (g, i, j), ([], [])
+            sides[side].append((num, grp, np.unique(s)))
+        yield links()
+
+    return written(dealt.mapInArrow(compare, "a long, b long"), "opened_links")
 
-        for batch in batches:
-            out: list[tuple[int, int]] = []
-            sets = (np.unique(s) for _, some in slices(batch.column(6)) for s in some)
-            for cls, grp, hub, i, j, side, own in zip(*(batch.column(k).to_pylist() for k in range(6)), sets, strict=True):
-                if (hub, i, j) != block:
-                    out += links()
-                    block, sides = (hub, i, j), ([], [])
-                sides[side].append((cls, grp, own))
-            yield pa.record_batch([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
-        out = links()
-        yield pa.record_batch([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
 
-    return written(dealt.select("cls", "grp", "hub", "i", "j", "side", "_text").mapInArrow(compare, "a long, b long"), "opened_links")
+def labelled(docs: DataFrame, percent: int, text: str, key: str, need: int = NEED, frequent: int = FREQUENT) -> DataFrame:
+    """(key, h, n, cls, first_id, first_h) of each document; first is the one of its component with the smallest key, null keys last."""
+    told = written(describe(docs, text, key), "described")
+    first = lambda *more: F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h", *more)).alias("r")
+    classes = told.where("n > 0").withColumnRenamed(key, "id").groupBy("cls").agg(first("least"), F.first("n").alias("n"))
+    classes = numbered(classes.select("cls", "n", "r.id", "r.h", "r.least"))
+    grouped, links = form_groups(classes, docs, text, key, percent)
+
+    n = F.col("n")
+    total = grouped.agg(F.sum(F.least(n, n - F.ceil(n * percent / 100) + need))).first()[0] or 0
+    parts = parts_for(total)
+    common = find_frequent(grouped, docs, text, key, frequent, percent, need, parts)
+    more = open_groups(questions(grouped, docs, text, key, common, percent, need, parts), grouped, docs, text, key, percent)
+    found = components(links.unionByName(more) if links is not None else more, "components").select(F.col("node").alias("num"), F.col("component").alias("_c"))
+
+    named = classes.select("cls", "num", "id", "h").join(found, "num", "left").withColumn("_c", F.coalesce("_c", "num"))
+    label = named.select("cls", "_c").join(named.groupBy("_c").agg(first()), "_c").select("cls", F.col("r.id").alias("first_id"), F.col("r.h").alias("first_h"))
+    return told.drop("least").join(label, "cls", "left")
 
 
 def join(docs: DataFrame, percent: int = PERCENT, text: str = "text", key: str = "doc_id", need: int = NEED, frequent: int = FREQUENT) -> DataFrame:
     """One row for each document: n_shingles and component_id, the smallest key reachable by links."""
-    told = written(describe(docs, text, key), "described")
-    classes = written(told.where("n > 0").groupBy("cls").agg(F.min(key).alias("id"), F.first("n").alias("n")), "classes")
-    rows = shared_tokens(docs, text, find_frequent(docs, text, frequent, percent, need), percent, need)
-    rows = rows.join(classes.select("cls", "n"), "cls").select("token", "cls", "n", F.col("cls").alias("grp"))
-    grouped, links = form_groups(rows, classes, docs, text, key, percent, need)
-
-    # the token-group matrix, and the groups that each class's tokens reach; a pair is met from the side of the smaller hub
-    matrix = grouped.select("token", F.col("hub").alias("g")).distinct()
-    members = written(grouped.select("cls", "n", "grp", "hub").distinct(), "members")
-    ranges = members.groupBy(F.col("hub").alias("g")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("grp").alias("lo"), F.max("grp").alias("hi"))
-    met = grouped.join(matrix, "token").where("hub <= g").groupBy("cls", "n", "grp", "g").agg(F.count("*").alias("c")).join(ranges, "g")
-    met = met.where((F.col("c") >= needed(F.col("n"), F.col("least"), percent, need)) & (F.col("most") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("least") * percent))
-    opened = written(met.where("lo <> grp or hi <> grp").select("cls", "grp", F.col("g").alias("hub")), "opened")
-    groups = members.join(opened.select("hub").distinct(), "hub").select("cls", "grp", "hub")
-    wanted = opened.select("cls").unionByName(groups.select("cls")).distinct().join(classes.select("cls", "id"), "cls")
-    more = open_groups(opened, groups, texts_of(written(wanted, "wanted"), docs, text, key), percent)
-
-    found = components(links.unionByName(more) if links is not None else more, "groups").select(F.col("node").alias("cls"), F.col("component").alias("grp"))
-    named = found.join(classes.select("cls", "id"), "cls")
-    least = named.groupBy("grp").agg(F.min("id").alias("component"))
-    label = classes.select("cls", "id").join(found, "cls", "left").join(least, "grp", "left").select("cls", F.coalesce("component", "id").alias("component_id"))
-    out = told.select(key, F.col("n").alias("n_shingles"), "cls").join(label, "cls", "left")
-    return out.select(key, "n_shingles", F.coalesce("component_id", key).alias("component_id"))
+    told = labelled(docs, percent, text, key, need, frequent)
+    return told.select(key, F.col("n").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col(key)).otherwise(F.col("first_id")).alias("component_id"))
 
 
 def keep_first(docs: DataFrame, percent: int = PERCENT, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The documents, whole rows, less all but one of each component: the row of its smallest key, and one row of those that share a key."""
-    told = join(docs, percent, text, key)
-    dropped = written(told.where(F.col(key) != F.col("component_id")).select(key).distinct(), "dropped")
-    kept = docs.join(small(dropped, 32), key, "left_anti")
-    twice = written(docs.groupBy(key).count().where(F.col("count") > 1).where(F.col(key).isNotNull()).select(key), "twice")
-    if twice.isEmpty():
-        return kept.select(docs.columns)
-    few = small(twice, 32)
-    one = kept.join(few, key, "left_semi").select(docs.columns).dropDuplicates([key])
-    return kept.join(few, key, "left_anti").select(docs.columns).unionByName(one)
+    """The documents, whole rows, less all but one of each component: that of its smallest key (null keys last), and one of rows that share key and text."""
+    told = written(labelled(docs, percent, text, key).select("h", F.coalesce(F.col("h") == F.col("first_h"), F.lit(True)).alias("first")), "told")
+    name = "_h" * (1 + max(map(len, docs.columns)))  # longer than any column's
+    named = docs.withColumn(name, hash_of(key, text))
+    dropped = written(told.where("not first").select(F.col("h").alias(name)).distinct(), "dropped")
+    stay = named.join(small(dropped, 24), name, "left_anti")
+    twice = written(told.where("first").groupBy("h").count().where(F.col("count") > 1).select(F.col("h").alias(name)), "twice")
+    if not twice.isEmpty():
+        few = small(twice, 24)
+        stay = stay.join(few, name, "left_anti").unionByName(stay.join(few, name, "left_semi").dropDuplicates([name]))
+    return stay.select(docs.columns)

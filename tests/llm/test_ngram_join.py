@@ -5,6 +5,7 @@ import numpy as np
 import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quillon.llm import ngram_join as nj
 
@@ -91,8 +92,21 @@ def test_nulls_repeats_and_empty_tables(spark, monkeypatch):
     rows = [(5, None), (4, "a b c d e f g"), (4, "a b c d e f g"), (7, "a b c d e f g")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(map(tuple, nj.join(docs).collect())) == [(4, 3, 4), (4, 3, 4), (5, 0, 5), (7, 3, 4)]
-    assert nj.join(docs.limit(0)).count() == 0
+    assert sorted(map(tuple, nj.keep_first(docs.withColumn("_h", F.lit(1)).withColumn("num", F.lit("x"))).collect())) == [(4, "a b c d e f g", 1, "x"), (5, None, 1, "x")]
+    assert nj.join(docs.limit(0)).count() == 0 and nj.keep_first(docs.limit(0)).count() == 0
     rows = corpus(3)[:60]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    monkeypatch.setattr(nj, "FILTER_BITS", 0)
+    monkeypatch.setattr(nj, "LARGE", 1)
+    monkeypatch.setattr(nj, "SIDE", 60)
+    monkeypatch.setattr(nj, "HELD", 100)
+    monkeypatch.setattr(nj, "ONCE", 3)
     assert sorted(map(tuple, nj.join(docs, frequent=2).collect())) == brute(rows)
+
+
+def test_null_keys_link(spark):
+    base = "the quick brown fox jumps over the lazy dog and then runs away from all the other dogs in the yard of the house"
+    rows = [(None, base), (9, base + " today"), (None, base), (None, "one two three four five six"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in nj.join(docs).collect()), key=str)
+    assert got == [(9, 20, 9), (None, 0, None), (None, 19, 9), (None, 19, 9), (None, 2, None)]
+    assert sorted(map(tuple, nj.keep_first(docs).collect()), key=str) == sorted([rows[1], rows[3], rows[4]], key=str)
