@@ -3,6 +3,11 @@ secret scans, packing. Each stage reads what its predecessor wrote; all but the
 
 Documents without a language that can be told go; of each component of near copies one row stays; documents that hold a
 window of a benchmark item go; secrets in texts are replaced by a mark; what is left is packed whole.
+
+Defined results: null and empty texts, and those without a letter, have no language and go; a null lang is filled with the
+prediction; of rows that share key and text one stays, and of a component the row of the smallest key (null keys last);
+a null source counts as an empty path; n_chars, where there is one, follows the redacted text; very long texts are read
+whole at every stage; further columns pass unchanged up to the last stage, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,7 +33,9 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    clean = secrets.redact(docs, path="source")
+    clean = secrets.redact(docs, path="source" if "source" in docs.columns else None)
+    if "n_chars" not in docs.columns:
+        return clean
     return clean.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(docs.columns)
 
 
