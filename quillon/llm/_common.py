@@ -14,11 +14,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Bytes of an Arrow batch that a function is given at once (a longer row comes alone).
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
+#: Rows of an Arrow batch while tables are written, at most: executors hold whole batches of texts outside their heap.
+BATCH_ROWS = 1000
 #: Rows up to this many bytes in all may be broadcast; beyond it the join shuffles.
 BROADCAST_BYTES = 24 << 20
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 T = TypeVar("T")
 
 
@@ -45,7 +48,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The rows, computed once and written to the shared folder: later reads don't depend on lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    rows = spark.conf.get(ARROW_ROWS)
+    spark.conf.set(ARROW_ROWS, str(min(int(rows), BATCH_ROWS) if int(rows) > 0 else BATCH_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(ARROW_ROWS, rows)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -66,6 +74,11 @@ def kept(make: Callable[[], T], *key: object) -> T:
     return _KEPT["value"]
 
 
+def release() -> None:
+    """Drop what another stage's tasks kept in this worker."""
+    _KEPT.clear()
+
+
 def cut(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
     """A batch in parts of at most so many bytes, or of one row."""
     if batch.num_rows > 1 and batch.nbytes > most:

@@ -35,13 +35,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm._common import BATCH_BYTES, components, cut, map_arrow, small, written
+from quillon.llm._common import BATCH_BYTES, components, cut, map_arrow, release, small, written
 
 SIZE, PERCENT = 5, 75
 #: Tokens that prefixes of similar sets share at least (where the sets are large enough).
 NEED = 6
-#: Smallest tokens by which groups are formed, and rounds of it.
-SKETCH, ROUNDS = 8, 2
+#: Smallest tokens by which groups are formed, and rounds of comparisons with leaders; one connects nearly all that later ones would.
+SKETCH, ROUNDS = 8, 1
 #: A token of more groups counts as frequent; so many tokens may at most.
 FREQUENT, MOST_FREQUENT = 20, 1 << 20
 #: Frequent tokens are looked for in prefixes by hash, and then within so many places of those found.
@@ -109,6 +109,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, size: int = SIZE) -> list[np
 
 def slices(column: pa.Array) -> Iterator[tuple[int, list[np.ndarray]]]:
     """(number of the first text, shingles of each) of a column of texts, a slice of bytes at a time."""
+    release()
     column = pc.fill_null(column, "").cast(pa.large_string())
     _, where, buffer = column.buffers()
     offsets = np.frombuffer(where, np.int64)[column.offset : column.offset + len(column) + 1]
@@ -354,7 +355,8 @@ def most_frequent(dealt: DataFrame, frequent: int) -> np.ndarray:
         keep = c > frequent
         yield pa.record_batch([signed(found[keep]), pa.array(c[keep])], names=["token", "c"])
 
-    got = by_part(dealt, 0, count, "token long, c long").orderBy(F.desc("c"), "token").limit(MOST_FREQUENT).select("token").toArrow()["token"].to_numpy()
+    counted = written(by_part(dealt, 0, count, "token long, c long"), "frequent")
+    got = counted.orderBy(F.desc("c"), "token").limit(MOST_FREQUENT).select("token").toArrow()["token"].to_numpy()
     return np.sort(got.astype(np.int64).view(np.uint64))
 
 
