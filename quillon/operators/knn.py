@@ -2,29 +2,34 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.vectors import cosine, dot, unit
 from quillon.operators.ranking import ranked
 
-#: Queries that may be broadcast at once; more are joined in blocks by the caller.
+#: Queries that are broadcast at once, on average; more are taken block by block.
 MOST_QUERIES = 10_000
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, allow: DataFrame | None = None, exclude_self: bool = False) -> DataFrame:
     """(query, item, score, rank): of each query (query, q) the k allowed items of the largest cosine.
 
-    The filter comes before the search, so the result is exact. The queries, a stated set of counted size, stand
-    against all vectors; each partition keeps k for a query before rows are shuffled.
+    The filter comes before the search, so the result is exact. The queries, a stated set, are dealt to blocks of about
+    MOST_QUERIES, each of which stands against all vectors; each partition keeps k for a query before rows are shuffled.
     """
-    if queries.count() > MOST_QUERIES:
-        raise ValueError("too many queries for one pass")
     own = vectors.join(allow.select("item"), "item", "left_semi") if allow is not None else vectors
-    pairs = own.select("item", unit(F.col("v")).alias("v")).crossJoin(F.broadcast(queries.select("query", unit(F.col("q")).alias("q"))))
-    if exclude_self:
-        pairs = pairs.where("item <> query")
-    return ranked(pairs.select("query", "item", dot(F.col("v"), F.col("q")).alias("score")), k, groups=["query"])
+    own, asked = own.select("item", unit(F.col("v")).alias("v")), queries.select("query", unit(F.col("q")).alias("q"))
+    blocks = max(1, -(-queries.count() // MOST_QUERIES))
+    found = []
+    for b in range(blocks):
+        some = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b)
+        pairs = own.crossJoin(F.broadcast(some))
+        pairs = pairs.where("item <> query") if exclude_self else pairs
+        found.append(ranked(pairs.select("query", "item", dot(F.col("v"), F.col("q")).alias("score")), k, groups=["query"]))
+    return reduce(DataFrame.unionByName, found)
 
 
 def smooth_affinity(vectors: DataFrame, modes: DataFrame, temperature: float = 0.05) -> DataFrame:

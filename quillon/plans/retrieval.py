@@ -230,11 +230,11 @@ CHANNELS = """, liked AS (
 ), rrf AS (SELECT item, sum(CASE WHEN channel = 'popular' THEN 0.5 ELSE 1.0 END / (60 + rank)) AS rrf, list_sort(list(DISTINCT channel)) AS channels FROM hits GROUP BY 1)"""
 
 
-def channels(spark, sf) -> list[DataFrame]:
-    """The four channels for one user: people, keywords, popular and nearest to what was liked."""
+def channels(spark, sf, allow: DataFrame | None = None) -> list[DataFrame]:
+    """The four channels for one user: people, keywords, popular and nearest to what was liked. Each is cut within the allowed items (all unseen ones, if none are given)."""
     own = T.history(spark, sf)
     sig = A.signals(own)
-    unseen = T.items(spark, sf).join(seen(spark, sf), "item", "left_anti")
+    unseen = T.items(spark, sf).join(seen(spark, sf), "item", "left_anti") if allow is None else allow
     ent = entities(spark, sf).where("kind in ('director', 'writer', 'actor', 'keyword')")
     # the log odds need the corpus; here the shrunken means of one user do
     mine = sig.where(F.col("user") == USER)
@@ -305,11 +305,11 @@ def linear(spark, sf):
 RECOMMEND = " SELECT item, title, round(rrf, 9) AS rrf, array_to_string(channels, ',') AS channels FROM rrf JOIN passing USING (item) ORDER BY round(rrf, 9) DESC, item LIMIT 10"
 
 
-@query("rt28_recommend", T.SQL + FLAGS + ENTITIES + CHANNELS + RECOMMEND)
-def recommend(spark, sf):
-    """For one user the ten best items of the fused channels that pass every hard filter."""
-    allow = H.allowed(T.items(spark, sf), FILTERS, bridges(spark, sf), seen(spark, sf)).select("item", "title")
-    fused = ranking.fused(channels(spark, sf), weights={"popular": 0.5}).join(allow, "item").withColumn("rrf", F.round("rrf", 9))
+@query("rt28_recommend", T.SQL + FLAGS + ENTITIES + CHANNELS.replace("item NOT IN (SELECT item FROM hist WHERE user = 3)", "item IN (SELECT item FROM passing)") + RECOMMEND)
+def recommend(spark, sf, filters: H.HardFilters = FILTERS):
+    """For one user the ten best items of the fused channels. The hard filters come before every channel's cut, so a narrow filter still fills the list."""
+    allow = H.allowed(T.items(spark, sf), filters, bridges(spark, sf), seen(spark, sf))
+    fused = ranking.fused(channels(spark, sf, allow), weights={"popular": 0.5}).join(allow.select("item", "title"), "item").withColumn("rrf", F.round("rrf", 9))
     return fused.orderBy(F.desc("rrf"), "item").limit(10).select("item", "title", "rrf", F.array_join("channels", ",").alias("channels"))
 
 
