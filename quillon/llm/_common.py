@@ -15,7 +15,7 @@ from pyspark.sql.types import StructType
 
 #: Bytes of an Arrow batch that a function is given at once (a longer row comes alone).
 BATCH_BYTES = 4 << 20
-#: Rows of an Arrow batch while tables are written, at most: executors hold whole batches of texts outside their heap.
+#: Rows of an Arrow batch, at most: executors hold whole batches of texts outside their heap, and so do Python workers.
 BATCH_ROWS = 1000
 #: Rows up to this many bytes in all may be broadcast; beyond it the join shuffles.
 BROADCAST_BYTES = 24 << 20
@@ -44,16 +44,19 @@ def shared_dir(spark: SparkSession) -> str:
     return held.get().rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's rows of an Arrow batch to BATCH_ROWS; a lower setting stays."""
+    rows = int(spark.conf.get(ARROW_ROWS))
+    if not 0 < rows <= BATCH_ROWS:
+        spark.conf.set(ARROW_ROWS, str(BATCH_ROWS))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows, computed once and written to the shared folder: later reads don't depend on lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    rows = spark.conf.get(ARROW_ROWS)
-    spark.conf.set(ARROW_ROWS, str(min(int(rows), BATCH_ROWS) if int(rows) > 0 else BATCH_ROWS))
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(ARROW_ROWS, rows)
+    small_batches(spark)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -101,6 +104,7 @@ def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.Re
                 else:
                     yield from out
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(over, schema)
 
 
