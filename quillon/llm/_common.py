@@ -78,8 +78,9 @@ def kept(make: Callable[[], T], *key: object) -> T:
 
 
 def release() -> None:
-    """Drop what another stage's tasks kept in this worker."""
+    """Drop what another stage's tasks kept in this worker, and give freed Arrow memory back to the machine."""
     _KEPT.clear()
+    pa.default_memory_pool().release_unused()
 
 
 def cut(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
@@ -103,6 +104,7 @@ def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.Re
                     yield out
                 else:
                     yield from out
+        pa.default_memory_pool().release_unused()
 
     small_batches(df.sparkSession)
     return df.mapInArrow(over, schema)
