@@ -13,7 +13,8 @@ of its links, never all pairs; components are made of the forests.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components link with nothing;
 vectors of different lengths never link; repeated rows are vectors of their own that link with each other; an
-empty table gives no rows; further columns are ignored.
+empty table gives no rows; further columns are ignored. Ids are below 2^62. Rows with a null id link as others do; the
+component's id is its smallest known one, null where none is known, and then all its rows are kept.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ BLOCK = 8192
 PIVOTS, SAMPLE = 256, 4096
 #: Room for rounding in bounds on distances, and for single precision in products.
 SLACK, SINGLE = 1e-6, 1e-4
+#: Points of which no id is known have numbers from here, made of their names.
+UNNAMED = 1 << 62
 
 
 def dtype_of(vectors: DataFrame, vector: str) -> str:
@@ -149,7 +152,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, vector: str = "e
     spark = vectors.sparkSession
     r = math.sqrt(2 - 2 * threshold)
     own = written(points(vectors, vector, key), "points")
-    classes = written(own.where("point is not null").groupBy("point").agg(F.min(key).alias("id"), F.count("*").alias("copies"), F.first("unit").alias("unit"), F.octet_length(F.first("unit")).alias("width")), "classes")
+    unnamed = F.lit(UNNAMED) + F.conv(F.substring("point", 1, 15), 16, 10).cast("long")
+    classes = written(own.where("point is not null").groupBy("point").agg(F.coalesce(F.min(key).cast("long"), unnamed).alias("id"), F.count("*").alias("copies"), F.first("unit").alias("unit"), F.octet_length(F.first("unit")).alias("width")), "classes")
     found = None
     for width, n in sorted(map(tuple, classes.groupBy("width").count().collect())):
         part = range_join(classes.where(F.col("width") == width), n, r, threshold, dtype_of(vectors, vector))
@@ -164,8 +168,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, vector: str = "e
     roots = components(found.where("b is not null").select("a", "b"), "forest")
     told = classes.select("point", "id", "copies").join(counts, F.col("id") == F.col("a"), "left").drop("a").join(roots, F.col("id") == F.col("node"), "left")
     told = told.select(F.col("point"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    told = told.withColumn("component_id", F.when(F.col("component_id") < UNNAMED, F.col("component_id")))
     joined = own.select(key, "point").join(told, "point", "left")
-    return joined.select(key, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", F.col(key)).alias("component_id"), F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)).alias("kept"))
+    return joined.select(key, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", F.col(key)).alias("component_id"), F.coalesce("component_id", F.col(key)).eqNullSafe(F.col(key)).alias("kept"))
 
 
 def range_join(classes: DataFrame, n: int, r: float, threshold: float, dtype: str) -> DataFrame:

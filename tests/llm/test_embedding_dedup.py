@@ -45,3 +45,10 @@ def test_repeats_and_empty_tables(spark):
     assert sorted(map(tuple, ed.near_duplicates(vectors).collect())) == [(1, 1, 1, True), (1, 1, 1, True), (2, 0, 2, True)]
     assert ed.near_duplicates(vectors.limit(0)).count() == 0
     assert ed.near_duplicates(vectors.where("vec_id = 1").selectExpr("vec_id", "cast(null as array<float>) as embedding")).count() == 2
+
+
+def test_null_ids_link(spark):
+    rows = [(None, [1.0, 0.0, 0.0]), (5, [0.99, 0.1, 0.0]), (None, [1.0, 0.01, 0.0]), (None, [0.0, 1.0, 0.0]), (None, [0.0, 1.0, 0.0]), (None, [0.0, 0.99, 0.02]), (7, [0.0, 0.0, 1.0]), (8, [0.0, 0.02, 1.0]), (None, None)]
+    got = ed.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    want = [(5, 2, 5, True), (None, 2, 5, False), (None, 2, 5, False), *[(None, 2, None, True)] * 3, (7, 1, 7, True), (8, 1, 7, False), (None, 0, None, True)]
+    assert sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in got), key=str) == sorted(want, key=str)
