@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -68,19 +69,32 @@ def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFr
 _KEPT: dict = {}
 
 
+def give_back() -> None:
+    """Give freed memory, Arrow's and (where the C library can) the interpreter's, back to the machine."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def kept(make: Callable[[], T], *key: object) -> T:
     """What a Python worker keeps between batches: one object, as workers are used again and another stage's shouldn't stay beside it."""
     if _KEPT.get("key") != key:
-        _KEPT.clear()
+        if _KEPT:
+            _KEPT.clear()
+            give_back()
         _KEPT["value"] = make()
         _KEPT["key"] = key
     return _KEPT["value"]
 
 
 def release() -> None:
-    """Drop what another stage's tasks kept in this worker, and give freed Arrow memory back to the machine."""
-    _KEPT.clear()
-    pa.default_memory_pool().release_unused()
+    """Drop what another stage's tasks kept in this worker, and give freed memory back to the machine."""
+    if _KEPT:
+        _KEPT.clear()
+        give_back()
+    else:
+        pa.default_memory_pool().release_unused()
 
 
 def cut(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
@@ -104,7 +118,7 @@ def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.Re
                     yield out
                 else:
                     yield from out
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     small_batches(df.sparkSession)
     return df.mapInArrow(over, schema)
