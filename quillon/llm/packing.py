@@ -32,6 +32,8 @@ from quillon.llm._common import kept, map_arrow
 BLOCK = 1024
 #: Words whose ids each Python worker keeps; later ones are encoded anew each time.
 KEPT_WORDS = 600_000
+#: Words that are encoded at once: the library's results are many times larger than the ids.
+NEW_WORDS = 2_000
 #: Characters of text whose words are held at once.
 HELD_CHARS = 2_000_000
 #: Latin-1 letters in lower case, numbers and white space, and the words that the vocabulary's file splits at.
@@ -86,8 +88,10 @@ class Encoder:
         if len(words) + len(new) > KEPT_WORDS:
             words.clear()
             new = list(set().union(*(x for x in held if isinstance(x, list))))
-        for word, told in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            words[word] = np.array(told.ids, "<u4").tobytes()
+        for k in range(0, len(new), NEW_WORDS):
+            part = new[k : k + NEW_WORDS]
+            for word, told in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                words[word] = np.array(told.ids, "<u4").tobytes()
         for x in held:
             yield x if isinstance(x, bytes) else b"".join(map(words.__getitem__, x))
 
