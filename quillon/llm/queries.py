@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import alignment, decontaminate, embedding_dedup, fingerprints, language, ngram_join, packing, quality, secrets, token_counts, url_filter, warc
+from quillon.llm import alignment, collocations, decontaminate, embedding_dedup, fingerprints, language, ngram_join, packing, quality, secrets, token_counts, url_filter, warc
 from quillon.llm._common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -157,3 +157,38 @@ def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
+@query
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(read(spark, sf_dir, "documents"), least=30, scale=2_000_000, inside=80, most=2000)
+
+
+ORACLE_SQL["op13_collocations"] = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), w AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p
+), total AS (
+  SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang
+), g AS (
+  SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase, count(*) AS f
+  FROM (SELECT lang, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM w, (VALUES (1), (2), (3), (4)) t(k) WHERE len(w) >= k) GROUP BY ALL HAVING count(*) >= 30
+), c AS (
+  SELECT lang, k, phrase, f, string_split(phrase, ' ') AS ws FROM g WHERE k >= 2
+), cut AS (
+  SELECT c.lang, c.phrase, c.f AS a, j, l.f AS l, r.f AS r, 2000000::HUGEINT * c.f // (l.f + r.f) AS score
+  FROM (SELECT *, unnest(generate_series(1, k - 1)) AS j FROM c) c
+  JOIN g l ON l.lang = c.lang AND l.phrase = array_to_string(ws[1 : j], ' ') JOIN g r ON r.lang = c.lang AND r.phrase = array_to_string(ws[j + 1 : c.k], ' ')
+), best AS (
+  SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1
+), inner_ones AS (
+  SELECT lang, array_to_string(ws[i : i + m - 1], ' ') AS phrase, max(f) AS held
+  FROM (SELECT *, unnest(generate_series(1, k - m + 1)) AS i FROM (SELECT *, unnest(generate_series(2, k - 1)) AS m FROM c WHERE k > 2)) GROUP BY ALL
+), kept AS (
+  SELECT b.* FROM best b LEFT JOIN inner_ones i ON i.lang = b.lang AND i.phrase = b.phrase WHERE i.held IS NULL OR 100 * i.held < 80 * b.a
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept
+)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
