@@ -37,7 +37,7 @@ LONGEST = 4
 #: Buckets of words and of pairs are at most 2 to these powers; buckets of one row.
 WORD_BITS, BITS, SLICE = 22, 26, 1 << 16
 #: Words of a shard, about; ranges at most, n-grams of a range, about, and places that are sampled for each.
-SHARD, RANGES, RANGE, SAMPLED = 4_000_000, 1024, 100_000, 40
+SHARD, RANGES, RANGE, SAMPLED = 2_000_000, 1024, 100_000, 40
 #: Bytes that end a piece, bytes between words.
 BREAKS, SPACES = b".,;:!?\n\x0b\x0c\r", b" \t"
 
@@ -322,6 +322,29 @@ def is_set(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bits[place >> np.uint64(3)] >> (np.uint64(7) - (place & np.uint64(7))).astype(np.uint8) & 1).astype(bool)
 
 
+class Ngrams:
+    """Sorted rows of word numbers and a count, read as n-grams a few at a time."""
+
+    def __init__(self, rows: np.ndarray, words: list[str]):
+        self.rows, self.words = rows, words
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def words_of(self, k: int) -> tuple[str, ...]:
+        return tuple([self.words[x] for x in self.rows[k, :LONGEST].tolist() if x])
+
+    def before(self, words: tuple[str, ...]) -> int:
+        """How many n-grams stand before this one."""
+        return bisect_left(range(len(self)), words, key=self.words_of)
+
+    def items(self, start: int, end: int, step: int = 20_000) -> Iterator[tuple[tuple[str, ...], int]]:
+        words = self.words
+        for k in range(start, end, step):
+            for r in self.rows[k : min(k + step, end)].tolist():
+                yield tuple([words[x] for x in r[:LONGEST] if x]), r[LONGEST]
+
+
 class Shard:
     """The words of some documents as numbers, 0 for those that are not frequent, and which pairs are frequent."""
 
@@ -344,14 +367,14 @@ class Shard:
         self.parts.append((own, pair))
         self.size += len(words)
 
-    def ngrams(self) -> Iterator[tuple[str, list[tuple[tuple[str, ...], int]]]]:
+    def ngrams(self) -> Iterator[tuple[str, Ngrams]]:
         """(language, its n-grams in order with their counts)."""
         t = np.concatenate([p[0] for p in self.parts]).astype(np.int64)
         two = np.concatenate([p[1] for p in self.parts])
         grams: list[np.ndarray] = []
 
         def take(columns: list[np.ndarray], n: np.ndarray) -> None:
-            grams.append(np.stack([*columns, *[np.zeros(len(n), np.int64)] * (LONGEST - len(columns)), n], axis=1))
+            grams.append(np.stack([*columns, *[np.zeros(len(n), np.int64)] * (LONGEST - len(columns)), n], axis=1).astype(np.int32))  # a shard's counts are small
 
         names = sorted(self.number)  # by language, then word
         rank = np.zeros(len(names) + 1, np.int64)
@@ -375,13 +398,14 @@ class Shard:
             take([left[a], right[a], left[b], right[b]], n)
         rows = np.concatenate(grams)
         rows = rows[np.lexsort(rows[:, LONGEST - 1 :: -1].T if LONGEST > 1 else rows[:, :1].T)] if len(rows) else rows
+        self.parts, self.number = [], {}  # what the rows hold isn't held twice
         langs = [x[0] for x in names]
         words = ["", *(x[1] for x in names)]
         begin = 0
         while begin < len(rows):
             lang = langs[rows[begin, 0] - 1]
             end = int(np.searchsorted(rows[:, 0], bisect_right(langs, lang), "right"))
-            yield lang, [(tuple([words[x] for x in r[:LONGEST] if x]), r[LONGEST]) for r in rows[begin:end].tolist()]
+            yield lang, Ngrams(rows[begin:end], words)
             begin = end
 
 
@@ -395,11 +419,11 @@ def counted(docs: DataFrame, seen: dict[int, np.ndarray], bounds: list[tuple[str
 
         def tell(shard: Shard) -> Iterator[pa.RecordBatch]:
             for lang, items in shard.ngrams():
-                places = [0, *(bisect_left(items, b[1:], key=lambda x: x[0]) for b in cuts if b[0] == lang), len(items)]
+                places = [0, *(items.before(b[1:]) for b in cuts if b[0] == lang), len(items)]
                 base = bisect_left(cuts, (lang,))
                 for k, (x, y) in enumerate(zip(places, places[1:], strict=False)):
                     if x < y:
-                        yield record(base + k, lang, y - x, Transducer.build(items[x:y]).pack())
+                        yield record(base + k, lang, y - x, Transducer.build(items.items(x, y)).pack())
 
         shard = Shard()
         for words, langs in batches_of(batches, none):
