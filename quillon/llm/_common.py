@@ -45,11 +45,11 @@ def shared_dir(spark: SparkSession) -> str:
     return held.get().rstrip("/")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Lower the session's rows of an Arrow batch to BATCH_ROWS; a lower setting stays."""
+def small_batches(spark: SparkSession, most: int = BATCH_ROWS) -> None:
+    """Lower the session's rows of an Arrow batch to so many; a lower setting stays."""
     rows = int(spark.conf.get(ARROW_ROWS))
-    if not 0 < rows <= BATCH_ROWS:
-        spark.conf.set(ARROW_ROWS, str(BATCH_ROWS))
+    if not 0 < rows <= most:
+        spark.conf.set(ARROW_ROWS, str(most))
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -107,12 +107,12 @@ def cut(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
         yield batch
 
 
-def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch], schema: str | StructType) -> DataFrame:
-    """mapInArrow with a function of one batch of bounded bytes."""
+def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch], schema: str | StructType, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> DataFrame:
+    """mapInArrow with a function of one batch of bounded rows and bytes."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in cut(batch, BATCH_BYTES):
+            for part in cut(batch, size):
                 out = function(part)
                 if isinstance(out, pa.RecordBatch):
                     yield out
@@ -120,7 +120,7 @@ def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.Re
                     yield from out
         give_back()
 
-    small_batches(df.sparkSession)
+    small_batches(df.sparkSession, rows)
     return df.mapInArrow(over, schema)
 
 

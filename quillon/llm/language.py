@@ -38,8 +38,8 @@ LEAST_EACH, SLICES = 1_000, 4
 SYMBOLS, FREQUENT = 64, 44
 #: Characters of a block, those before it from which its first state is guessed, and rounds in which wrong guesses are walked anew together.
 BLOCK, WARM, ROUNDS = 2048, 64, 4
-#: Symbols that are walked at once.
-HELD = 4_000_000
+#: Symbols that are walked at once; rows and bytes of a batch: what a worker holds beside its table is a few times this.
+HELD, ROWS_HELD, BYTES_HELD = 1_000_000, 250, 1 << 20
 NONE = "und"
 
 
@@ -58,7 +58,7 @@ def automaton(symbols: bytes, width: int, table: memoryview) -> int:
     """The suffix automaton of a string, written to a table: rows of states, columns of symbols, -1 where there is no step; the number of states. State 0 is the start."""
     none = array("i", [-1]) * width
     table[:width] = none
-    link, length, last, states = [-1], [0], 0, 1
+    link, length, last, states = array("i", [-1]), array("i", [0]), 0, 1
     for c in symbols:
         new, states = states, states + 1
         table[new * width : states * width] = none
@@ -281,7 +281,7 @@ def identify(docs: DataFrame, samples: tuple[tuple[str, str], ...], text: str =
         found = languages(told.value).identify(batch.column(len(names)).to_pylist())
         return pa.record_batch([*(batch.column(k) for k in range(len(names))), pa.array(found[0], pa.string()), pa.array(found[1], pa.float64()), pa.array(found[2], pa.float64())], names=[*names, "lang_pred", "score", "bits"])
 
-    return map_arrow(docs.select(*names, F.col(text).alias("_text")), over, "".join(f"`{n}` {kinds[n]}, " for n in names) + "lang_pred string, score double, bits double")
+    return map_arrow(docs.select(*names, F.col(text).alias("_text")), over, "".join(f"`{n}` {kinds[n]}, " for n in names) + "lang_pred string, score double, bits double", ROWS_HELD, BYTES_HELD)
 
 
 def keep_identified(docs: DataFrame, samples: tuple[tuple[str, str], ...], text: str = "text", lang: str = "lang") -> DataFrame:
@@ -296,4 +296,4 @@ def keep_identified(docs: DataFrame, samples: tuple[tuple[str, str], ...], text:
             batch = batch.set_column(filled, lang, pc.coalesce(batch.column(filled), found))
         return batch.filter(pc.not_equal(found, NONE))
 
-    return map_arrow(docs, over, docs.schema)
+    return map_arrow(docs, over, docs.schema, ROWS_HELD, BYTES_HELD)
