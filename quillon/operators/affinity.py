@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Prior weights by kind of entity, and ratings that a kind needs.
-KAPPA = {"director": 2.0, "writer": 3.0, "actor": 4.0, "keyword": 6.0, "genre": 8.0, "country": 5.0, "runtime": 6.0, "collection": 2.0}
+KAPPA = {"director": 2.0, "writer": 3.0, "actor": 4.0, "keyword": 6.0, "genre": 8.0, "language": 4.0, "country": 5.0, "decade": 6.0, "runtime": 6.0, "collection": 2.0}
 LEAST = {"keyword": 2, "actor": 2}
 SUPPORT = 12
 

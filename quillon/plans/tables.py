@@ -285,11 +285,6 @@ def calibrated(spark, sf):
     return taste.calibrated(rows)
 
 
-@query("tm8_preference_direction")
-def direction(spark, sf):
-    return taste.direction(rated(spark, sf))
-
-
 @query("rt17_diversified")
 def diversified(spark, sf):
     """Ten items for each user from the hundred most popular unseen ones, with caps on people, decades and collections."""
