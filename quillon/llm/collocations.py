@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillon.llm._common import BATCH_BYTES, cut, give_back, kept, small_batches, written
+from quillon.llm._common import BATCH_BYTES, cut, give_back, release, small_batches, written
 
 #: Words of a phrase at most.
 LONGEST = 4
@@ -414,7 +414,8 @@ def counted(docs: DataFrame, seen: dict[int, np.ndarray], bounds: list[tuple[str
     told = docs.sparkSession.sparkContext.broadcast((seen, bounds))
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, cuts = kept(lambda: told.value, "collocations", told.id if hasattr(told, "id") else id(told))
+        bits, cuts = told.value
+        release()
         total: dict[str, int] = {}
 
         def tell(shard: Shard) -> Iterator[pa.RecordBatch]:
