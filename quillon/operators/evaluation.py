@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillon.functions.vectors import dot, unit
+from quillon.operators import quantiles
 from quillon.operators.ranking import average_rank
 
 
@@ -91,12 +92,11 @@ def list_distance(lists: DataFrame, vectors: DataFrame) -> DataFrame:
 def novelty(lists: DataFrame, popularity: DataFrame) -> DataFrame:
     """(user, novelty): mean of log2 of the popularity rank over log2 of the corpus's size.
 
-    Ranks come from counting the items of each popularity value, so no single task holds the corpus.
+    Ranks come from exact counts of smaller values, and of smaller ids among equals, so no task holds the corpus.
     """
-    levels = popularity.groupBy("popularity").agg(F.count("*").alias("c"))
-    above = levels.withColumn("above", F.coalesce(F.sum("c").over(Window.orderBy(F.desc("popularity")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    within = F.row_number().over(Window.partitionBy("popularity").orderBy("item"))
-    place = popularity.withColumn("_w", within).join(above, "popularity").select("item", (F.col("above") + F.col("_w")).alias("place"))
+    above = quantiles.levels(popularity.select(F.lit(0).alias("_g"), (-F.col("popularity")).alias("value")), ["_g"]).select((-F.col("value")).alias("popularity"), F.col("below").alias("above"))
+    within = quantiles.levels(popularity.select("popularity", F.col("item").alias("value")), ["popularity"], bins=16).select("popularity", F.col("value").alias("item"), "below")
+    place = within.join(above, "popularity").select("item", (F.col("above") + F.col("below") + 1).alias("place"))
     size = popularity.agg(F.count("*").alias("n"))
     seen = lists.join(place, "item", "left").crossJoin(F.broadcast(size))
     return seen.groupBy("user").agg(F.avg(F.log2(F.coalesce("place", "n").cast("double")) / F.log2(F.col("n").cast("double"))).alias("novelty"))

@@ -6,6 +6,7 @@ from dataclasses import dataclass, field, fields, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Range clauses: name -> (column, whether the bound is the least value).
 RANGES = {"runtime_min": ("runtime", True), "runtime_max": ("runtime", False), "popularity_min": ("popularity", True), "popularity_max": ("popularity", False)}
@@ -135,3 +136,34 @@ def bucket(value: Column, edges: tuple[int, ...]) -> Column:
 
 
 assert {f.name for f in fields(HardFilters)} >= set(RANGES)
+
+
+def failing(names: list[str]) -> Column:
+    """The clauses that a flagged row fails, a bit each."""
+    out = F.lit(0)
+    for i, n in enumerate(names):
+        out = out + F.when(~F.col(n), F.lit(1 << i)).otherwise(0)
+    return out
+
+
+def without_each(scored: DataFrame, names: list[str], k: int = 10) -> DataFrame:
+    """(clause, item, rank, gained): the k best items if each clause alone weren't there, from one pass over flagged rows (item, score and a column for each clause).
+
+    What a list without a clause can hold fails nothing, or just that clause: the k best rows of each such mask are enough, and
+    they are cut before the shuffle. `gained` items are those that the clause keeps out.
+    """
+    masked = scored.select("item", "score", failing(names).alias("_mask")).where(F.col("_mask").isin([0, *(1 << i for i in range(len(names)))]))
+    best = masked.withColumn("_r", F.row_number().over(Window.partitionBy("_mask").orderBy(F.desc("score"), "item"))).where(F.col("_r") <= k).drop("_r")
+    clauses = F.when(F.col("_mask") == 0, F.array(*map(F.lit, names)))
+    for i, n in enumerate(names):
+        clauses = clauses.when(F.col("_mask") == 1 << i, F.array(F.lit(n)))
+    each = best.withColumn("clause", F.explode(clauses))
+    place = F.row_number().over(Window.partitionBy("clause").orderBy(F.desc("score"), "item"))
+    return each.withColumn("rank", place).where(F.col("rank") <= k).select("clause", "item", "rank", (F.col("_mask") > 0).alias("gained"))
+
+
+def head_costs(scored: DataFrame, names: list[str], kept: DataFrame, k: int = 10) -> DataFrame:
+    """(clause, n): of the k best rows whatever their flags, how many that aren't kept each clause removes; clauses that cost nothing are left out."""
+    head = scored.orderBy(F.desc("score"), "item").limit(k).join(kept.select("item"), "item", "left_anti")
+    counts = head.agg(*(F.count_if(~F.col(n)).alias(n) for n in names))
+    return counts.unpivot([], names, "clause", "n").where("n > 0")

@@ -43,21 +43,6 @@ def average_rank(value: Column, groups: list[str], base: int = 0) -> Column:
     return below + (ties - 1) / 2.0 - 1 + base
 
 
-def scaled(values: DataFrame, groups: list[str], clip: float = 3.0, least: int = 8) -> DataFrame:
-    """The rows (groups, item, value) with `scaled` and `how`: median and MAD over each group, ranks where the MAD
-    is zero, zero for fewer rows than `least` or one repeated value. Absent rows are unsupported.
-    """
-    mid = values.groupBy(*groups).agg(F.median("value").alias("_mid"), F.count("*").alias("_n"))
-    off = values.join(mid, groups).withColumn("_off", F.abs(F.col("value") - F.col("_mid")))
-    spread = off.groupBy(*groups).agg((1.4826 * F.median("_off")).alias("_spread"))
-    all_ = off.join(spread, groups).withColumn("_rank", average_rank(F.col("value"), groups))
-    ranks = F.when(F.col("_n") > 1, 2.0 * F.col("_rank") / (F.col("_n") - 1) - 1.0).otherwise(0.0)
-    same = F.max("value").over(Window.partitionBy(*groups)) == F.min("value").over(Window.partitionBy(*groups))
-    how = F.when(F.col("_n") < least, "zeroed").when(F.col("_spread") > 1e-9, "mad").when(same, "zeroed").otherwise("rank")
-    raw = F.when(F.col("_how") == "mad", (F.col("value") - F.col("_mid")) / F.col("_spread")).when(F.col("_how") == "rank", ranks).otherwise(0.0)
-    return all_.withColumn("_how", how).withColumn("scaled", F.greatest(F.lit(-clip), F.least(F.lit(clip), raw))).withColumnRenamed("_how", "how").drop("_mid", "_n", "_off", "_spread", "_rank")
-
-
 def linear(scaled_values: DataFrame, beta: dict[str, float], bias: float = 0.0, feature: str = "feature") -> DataFrame:
     """(item, score): the sum of weight times scaled value; features without a weight count nothing."""
     w = F.lit(0.0)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillon.operators import quantiles
+
 #: The shortest word that is taken out of a text, and words that stay.
 LEAST_LETTERS = 3
 STAYING = ("the", "and", "for", "from", "with", "that", "this", "her", "his", "you", "les", "der", "una")
@@ -40,7 +42,7 @@ def stability(fits: DataFrame) -> DataFrame:
 
 def ratio_to_median(rows: DataFrame, value: str, groups: list[str]) -> DataFrame:
     """The rows with `ratio`: the value over its group's median, 1 where that is 0."""
-    middle = rows.groupBy(*groups).agg(F.median(value).alias("_m"))
+    middle = quantiles.medians(rows, groups, value, "_m")
     return rows.join(middle, groups).withColumn("ratio", F.when(F.col("_m") != 0, F.col(value) / F.col("_m")).otherwise(1.0)).drop("_m")
 
 

@@ -6,10 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillon.functions import vectors as V
 from quillon.operators import affinity as A
 from quillon.operators import evaluation as E
-from quillon.operators import knn, ranking
+from quillon.operators import knn, quantiles, ranking
 from quillon.plans import adapter as T
 from quillon.plans.registry import query
 from quillon.plans.retrieval import CENTROIDS
@@ -111,12 +110,18 @@ def popular(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
     return unseen(T.items(spark, sf).select("item", "popularity"), test, train), test, train
 
 
-def unseen(items: DataFrame, test: DataFrame, train: DataFrame, n: int = 50, broadcast_rows: int = 100_000) -> DataFrame:
-    """Each test user's first n items (item, popularity) that are not among the training rows. n + the most that a user has seen are enough to choose from."""
-    most = train.groupBy("user").count().agg(F.max("count")).first()[0] or 0
+def unseen(items: DataFrame, test: DataFrame, train: DataFrame, n: int = 50) -> DataFrame:
+    """Each test user's first n items (item, popularity) that are not among the training rows.
+
+    A user who has seen h items finds them among the first n + h, so items are numbered once and each user asks for so
+    many places: users times n and the history's rows, joined by place.
+    """
+    held = train.groupBy("user").agg(F.count_distinct("item").alias("_h"))
+    most = held.agg(F.max("_h")).first()[0] or 0
     best = items.orderBy(F.desc("popularity"), "item").limit(n + most)
-    users = test.select("user").distinct()
-    pairs = users.crossJoin(F.broadcast(best) if n + most <= broadcast_rows else best).join(train, ["user", "item"], "left_anti")
+    placed = best.withColumn("_place", F.row_number().over(Window.orderBy(F.desc("popularity"), "item")))
+    asked = test.select("user").distinct().join(held, "user", "left").select("user", F.explode(F.sequence(F.lit(1), (n + F.coalesce("_h", F.lit(0))).cast("int"))).alias("_place"))
+    pairs = asked.join(placed, "_place").drop("_place").join(train.select("user", "item"), ["user", "item"], "left_anti")
     return ranking.ranked(pairs, n, "popularity", ["user"])
 
 
@@ -154,17 +159,8 @@ def novelty(spark, sf):
     return E.novelty(judged(spark, sf)[0].select("user", "item"), T.items(spark, sf).select("item", "popularity")).select("user", F.round("novelty", 6).alias("novelty"))
 
 
-@query("ev16_unknown_director_rate", T.SQL + ARMS + ", known AS (SELECT DISTINCT user, person FROM train JOIN credits USING (item) WHERE role = 'director' AND person % 5 = 0) SELECT user, round(avg(CASE WHEN EXISTS (SELECT 1 FROM credits c JOIN known k USING (person) WHERE c.role = 'director' AND c.item = r.item AND k.user = r.user) THEN 0.0 ELSE 1.0 END), 6) AS rate FROM ranked r GROUP BY 1")
+@query("ev16_unknown_director_rate", T.SQL + ARMS + ", known AS (SELECT DISTINCT user, person FROM train JOIN credits USING (item) WHERE role = 'director') SELECT user, round(avg(CASE WHEN EXISTS (SELECT 1 FROM credits c JOIN known k USING (person) WHERE c.role = 'director' AND c.item = r.item AND k.user = r.user) THEN 0.0 ELSE 1.0 END), 6) AS rate FROM ranked r GROUP BY 1")
 def unknown(spark, sf):
-    r, _, train = popular(spark, sf)
-    directors = T.credits(spark, sf).where("role = 'director'").select("item", "person")
-    known = train.join(directors, "item").where("person % 5 = 0").select("user", "person").distinct()
-    return E.unknown_rate(r.select("user", "item"), directors, known).select("user", F.round("rate", 6).alias("rate"))
-
-
-@query("ev16_unknown_director_rate_whole", T.SQL + ARMS + ", known AS (SELECT DISTINCT user, person FROM train JOIN credits USING (item) WHERE role = 'director') SELECT user, round(avg(CASE WHEN EXISTS (SELECT 1 FROM credits c JOIN known k USING (person) WHERE c.role = 'director' AND c.item = r.item AND k.user = r.user) THEN 0.0 ELSE 1.0 END), 6) AS rate FROM ranked r GROUP BY 1")
-def unknown_whole(spark, sf):
-    """ev16_unknown_director_rate with every director that a user has rated."""
     r, _, train = popular(spark, sf)
     directors = T.credits(spark, sf).where("role = 'director'").select("item", "person")
     known = train.join(directors, "item").select("user", "person").distinct()
@@ -200,7 +196,8 @@ def single_centroid(spark, sf):
     liked = assigned(spark, sf).where("fold = 1 and bucket in ('inner', 'val')").join(T.history(spark, sf), ["user", "item"]).where("rating_half >= 8").select("user", "item", F.lit(1.0).alias("w"))
     v = T.vectors(spark, sf).select("item", "v")
     q = knn.centroid(v, liked, ["user"])
-    scores = v.crossJoin(F.broadcast(q)).select("user", "item", F.round(V.cosine(F.col("v"), F.col("q")), 9).alias("score"))
+    # users stand as queries, in blocks; a few more than ten, as equal scores count to nine digits
+    scores = knn.nearest(v, q.select(F.col("user").alias("query"), "q"), 20).select(F.col("query").alias("user"), "item", F.round("score", 9).alias("score"))
     return ranking.ranked(scores, 10, groups=["user"]).select("user", "item", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -221,9 +218,8 @@ def paired(spark, sf):
     return E.bootstrap_mean(values, ["arm"])
 
 
-@query("wn2_average_ranks", T.SQL + " SELECT item, round(rank() OVER (ORDER BY runtime) - 1 + (count(*) OVER (PARTITION BY runtime) - 1) / 2.0, 6) AS rank FROM items WHERE genre = (SELECT min(genre) FROM items)")
+@query("wn2_average_ranks", T.SQL + " SELECT item, round(rank() OVER (PARTITION BY genre ORDER BY runtime) - 1 + (count(*) OVER (PARTITION BY genre, runtime) - 1) / 2.0, 6) AS rank FROM items")
 def average_ranks(spark, sf):
-    i = T.items(spark, sf)
-    least = i.agg(F.min("genre").alias("genre"))
-    own = i.join(F.broadcast(least), "genre").withColumn("g", F.col("genre"))
-    return own.select("item", F.round(ranking.average_rank(F.col("runtime"), ["g"]), 6).alias("rank"))
+    """Each item's mean rank by running time among those of its genre."""
+    i = T.items(spark, sf).select("item", "genre", F.col("runtime").alias("value"))
+    return i.join(quantiles.levels(i, ["genre"]), ["genre", "value"]).select("item", F.round(quantiles.average_rank(), 6).alias("rank"))

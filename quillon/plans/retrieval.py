@@ -9,7 +9,7 @@ from quillon.functions import vectors as V
 from quillon.functions.text import normal_title, similarity
 from quillon.operators import affinity as A
 from quillon.operators import filters as H
-from quillon.operators import knn, lexical, ranking
+from quillon.operators import knn, lexical, quantiles, ranking
 from quillon.plans import adapter as T
 from quillon.plans.registry import query
 from quillon.session import table
@@ -79,15 +79,8 @@ def eligibility(spark, sf):
     )
 
 
-@query("st_union_targets", T.SQL + " SELECT count(*) AS n, CAST(sum(item) AS BIGINT) AS total FROM (SELECT item FROM items WHERE popularity > 950 UNION SELECT item FROM custhist WHERE user < 50)")
+@query("st_union_targets", T.SQL + " SELECT count(*) AS n, CAST(sum(item) AS BIGINT) AS total FROM (SELECT item FROM items WHERE popularity > 950 UNION SELECT item FROM custhist)")
 def union_targets(spark, sf):
-    liked = T.items(spark, sf).where("popularity > 950").select("item").union(T.history(spark, sf, "customer").where("user < 50").select("item"))
-    return liked.distinct().agg(F.count("*").alias("n"), F.sum("item").alias("total"))
-
-
-@query("st_union_targets_whole", T.SQL + " SELECT count(*) AS n, CAST(sum(item) AS BIGINT) AS total FROM (SELECT item FROM items WHERE popularity > 950 UNION SELECT item FROM custhist)")
-def union_targets_whole(spark, sf):
-    """st_union_targets with the histories of every user."""
     liked = T.items(spark, sf).where("popularity > 950").select("item").union(T.history(spark, sf, "customer").select("item"))
     return liked.distinct().agg(F.count("*").alias("n"), F.sum("item").alias("total"))
 
@@ -293,12 +286,12 @@ def features(spark, sf) -> DataFrame:
 
 @query("rt10_scaled_features", T.SQL + FEATURES + " SELECT feature, item, how, round(scaled, 6) AS scaled FROM sc")
 def scaled(spark, sf):
-    return ranking.scaled(features(spark, sf), ["feature"]).select("feature", "item", "how", F.round("scaled", 6).alias("scaled"))
+    return quantiles.scaled(features(spark, sf), ["feature"]).select("feature", "item", "how", F.round("scaled", 6).alias("scaled"))
 
 
 @query("rt12_linear_score", T.SQL + FEATURES + " SELECT item, round(sum(CASE feature WHEN 'popularity' THEN 0.4 WHEN 'vote_quality' THEN 0.8 WHEN 'runtime' THEN -0.1 ELSE 0.0 END * scaled) + 0.05, 6) AS score FROM sc GROUP BY 1")
 def linear(spark, sf):
-    out = ranking.linear(ranking.scaled(features(spark, sf), ["feature"]), {"popularity": 0.4, "vote_quality": 0.8, "runtime": -0.1}, 0.05)
+    out = ranking.linear(quantiles.scaled(features(spark, sf), ["feature"]), {"popularity": 0.4, "vote_quality": 0.8, "runtime": -0.1}, 0.05)
     return out.select("item", F.round("score", 6).alias("score"))
 
 
@@ -329,3 +322,25 @@ def title_resolution(spark, sf):
     return best.where("r = 1 and sim >= 0.6").select("query", "item", F.round("sim", 6).alias("similarity"))
 
 
+COSTS = T.SQL + FLAGS + ENTITIES + CHANNELS + ", scored AS (SELECT f.*, round(rrf, 9) AS score FROM rrf JOIN flags f USING (item))"
+CLAUSES = ["runtime_min", "runtime_max", "popularity_min", "include_countries", "exclude_keywords", "exclude_people", "exclude_ids"]
+OTHERS = {c: " AND ".join(o for o in CLAUSES if o != c) for c in CLAUSES}
+
+
+def flagged_scores(spark, sf) -> DataFrame:
+    """Every unseen item of the fused channels with its score and whether it passes each clause."""
+    fused = ranking.fused(channels(spark, sf), weights={"popular": 0.5}).select("item", F.round("rrf", 9).alias("score"))
+    return fused.join(H.flagged(T.items(spark, sf), FILTERS, bridges(spark, sf), seen(spark, sf)), "item")
+
+
+@query("flt26_clause_costs", COSTS + ", head AS (SELECT * FROM scored ORDER BY score DESC, item LIMIT 10) SELECT clause, n FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS clause, count(*) FILTER (NOT {c}) AS n FROM head WHERE NOT ({' AND '.join(CLAUSES)})" for c in CLAUSES) + ") WHERE n > 0")
+def clause_costs(spark, sf):
+    """Of the ten best items without the optional clauses, how many each clause removes."""
+    scored = flagged_scores(spark, sf)
+    return H.head_costs(scored, CLAUSES, scored.where(H.every(CLAUSES)))
+
+
+@query("flt26_without_each_clause", COSTS + " SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS clause, item, row_number() OVER (ORDER BY score DESC, item) AS rank, NOT {c} AS gained FROM scored WHERE {OTHERS[c]} QUALIFY rank <= 10" for c in CLAUSES) + ")")
+def without_each(spark, sf):
+    """The ten best items if each clause alone weren't there, all from one scan."""
+    return H.without_each(flagged_scores(spark, sf), CLAUSES).select("clause", "item", F.col("rank").cast("long").alias("rank"), "gained")

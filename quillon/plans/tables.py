@@ -135,16 +135,9 @@ def hooks(spark, sf):
     return table(spark, sf, "documents").select("doc_id", X.hook(F.col("text")).alias("hook"))
 
 
-@query("sc8_title_leaks", f"SELECT item_id, count(*) AS n FROM (SELECT item_id, doc_id FROM documents, (SELECT item_id, {NORMAL.format('text')} AS needle FROM benchmark WHERE item_id < 8) WHERE contains(' ' || {NORMAL.format('text')} || ' ', ' ' || regexp_replace(needle, '^(the|a|an|le|la|les|un|une|der|die|das|el|los|las|il|lo) (.)', '\\2') || ' ')) GROUP BY 1")
+@query("sc8_title_leaks", f"SELECT item_id, count(*) AS n FROM (SELECT item_id, doc_id FROM (SELECT doc_id, ' ' || {NORMAL.format('text')} || ' ' AS t FROM documents), (SELECT item_id, ' ' || regexp_replace({NORMAL.format('text')}, '^(the|a|an|le|la|les|un|une|der|die|das|el|los|las|il|lo) (.)', '\\2') || ' ' AS needle FROM benchmark) WHERE contains(t, needle)) GROUP BY 1")
 def leaks(spark, sf):
-    b = table(spark, sf, "benchmark").where("item_id < 8").select("item_id", X.normal_title(F.col("text")).alias("needle"))
-    d = table(spark, sf, "documents").select("doc_id", F.concat(F.lit(" "), F.trim(F.regexp_replace(F.translate(F.lower("text"), X.MARKED, X.PLAIN), r"[^\p{L}\p{N}]+", " ")), F.lit(" ")).alias("t"))
-    return d.join(F.broadcast(b), F.contains("t", F.concat(F.lit(" "), F.col("needle"), F.lit(" ")))).groupBy("item_id").agg(F.count("*").alias("n"))
-
-
-@query("sc8_title_leaks_whole", f"SELECT item_id, count(*) AS n FROM (SELECT item_id, doc_id FROM (SELECT doc_id, ' ' || {NORMAL.format('text')} || ' ' AS t FROM documents), (SELECT item_id, ' ' || regexp_replace({NORMAL.format('text')}, '^(the|a|an|le|la|les|un|une|der|die|das|el|los|las|il|lo) (.)', '\\2') || ' ' AS needle FROM benchmark) WHERE contains(t, needle)) GROUP BY 1")
-def leaks_whole(spark, sf):
-    """sc8_title_leaks for every item."""
+    """How many documents hold each item's title."""
     b = table(spark, sf, "benchmark").select("item_id", X.normal_title(F.col("text")).alias("needle"))
     d = table(spark, sf, "documents").select("doc_id", F.trim(F.regexp_replace(F.translate(F.lower("text"), X.MARKED, X.PLAIN), r"[^\p{L}\p{N}]+", " ")).alias("t"))
     return title_leaks(d, b)
@@ -245,7 +238,7 @@ def costs(spark, sf):
 
 @query("jn20_span_depths", "WITH RECURSIVE t AS (SELECT event_id, 0 AS depth FROM events WHERE event_id < 3 UNION ALL SELECT e.event_id, depth + 1 FROM events e JOIN t ON e.event_id >= 3 AND e.event_id // 3 = t.event_id) SELECT event_id, depth FROM t")
 def depths(spark, sf):
-    from quillon.streaming.events import shared_dir
+    from quillon.storage import shared_dir
 
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
@@ -285,19 +278,6 @@ def calibrated(spark, sf):
     return taste.calibrated(rows)
 
 
-@query("rt17_diversified")
-def diversified(spark, sf):
-    """Ten items for each user from the hundred most popular unseen ones, with caps on people, decades and collections."""
-    h = T.history(spark, sf)
-    most = h.groupBy("user").count().agg(F.max("count")).first()[0]
-    best = T.items(spark, sf).orderBy(F.desc("popularity"), "item").limit(100 + most)
-    people = T.credits(spark, sf).where("role = 'director'").groupBy("item").agg(F.collect_set("person").alias("people"))
-    wide = best.join(people, "item", "left").join(T.vectors(spark, sf).select("item", "v"), "item", "left").select("item", F.col("popularity").alias("score"), "v", "people", F.expr("runtime div 10").alias("decade"), "collection")
-    pairs = h.select("user").distinct().crossJoin(F.broadcast(wide)).join(h, ["user", "item"], "left_anti")
-    head = pairs.withColumn("r", F.row_number().over(Window.partitionBy("user").orderBy(F.desc("score"), "item"))).where("r <= 100").drop("r")
-    return taste.diversified(head)
-
-
 # streams
 
 

@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quillon.functions import parse, text
-from quillon.operators import evaluation, filters, logs, ranking, taste, upsert
+from quillon.operators import evaluation, filters, logs, quantiles, ranking, taste, upsert
 from quillon.sources import catalogue, exports
 
 SETS = st.dictionaries(st.sampled_from(["genres", "keywords"]), st.frozensets(st.sampled_from("abcd"), max_size=3), max_size=2)
@@ -63,7 +63,7 @@ def test_payloads(spark):
 def test_scaling_against_numpy(spark):
     rng = np.random.default_rng(1)
     data = [("mad", i, float(v)) for i, v in enumerate(rng.normal(size=25))] + [("rank", i, float(i == 3)) for i in range(12)] + [("few", i, float(i)) for i in range(7)] + [("same", i, 2.0) for i in range(9)]
-    out = ranking.scaled(spark.createDataFrame(data, "feature string, item long, value double"), ["feature"]).toPandas()
+    out = quantiles.scaled(spark.createDataFrame(data, "feature string, item long, value double"), ["feature"]).toPandas()
     v = np.array([x for f, _, x in data if f == "mad"])
     mad = np.clip((v - np.median(v)) / (1.4826 * np.median(np.abs(v - np.median(v)))), -3, 3)
     assert np.allclose(out[out.feature == "mad"].sort_values("item").scaled, mad)
@@ -99,13 +99,6 @@ def test_modes_find_planted_clusters(spark):
     assert sorted(int(np.argmax(np.abs(basis @ np.array(c)))) for c in likes.centroid) == [0, 1]
 
 
-def test_slots_and_diversity(spark):
-    assert taste.slots([(0, 9.0, 1.0), (1, 1.0, 1.0), (2, 0.0001, 0.1)], 10) == {0: 6, 1: 3, 2: 1}
-    rows = [(1, i, 1.0 - i / 100, [1.0, 0.0] if i < 6 else [0.0, 1.0], [i % 2], i // 4, f"c{i % 7}") for i in range(20)]
-    out = taste.diversified(spark.createDataFrame(rows, "user long, item long, score double, v array<double>, people array<long>, decade long, collection string"), n=4, trade=0.3, per_person=2).toPandas().sort_values("position")
-    assert out.item.iloc[0] == 0 and len(out) == 4 and max(np.bincount(out.item % 2)) <= 2 and out.item.iloc[1] >= 6
-
-
 def test_metrics_against_definitions(spark):
     ranked = spark.createDataFrame([(1, i, r) for r, i in enumerate([5, 3, 9, 1], 1)], "user long, item long, rank int")
     judged = spark.createDataFrame([(1, 3, 3), (1, 1, 1), (1, 7, 2), (2, 4, 3)], "user long, item long, rel int")
