@@ -17,7 +17,6 @@ those named like results, are ignored.
 
 from __future__ import annotations
 
-import heapq
 import struct
 import zlib
 from bisect import bisect_left, bisect_right
@@ -77,7 +76,7 @@ class Words:
         size = self.end - self.start
         own = self.data[inside].astype(np.uint64) + np.uint64(1)
         begin = np.cumsum(size) - size
-        at = np.arange(len(own)) - np.repeat(begin, size)
+        at = np.arange(len(own), dtype=np.int32) - np.repeat(begin.astype(np.int32), size)
         own *= FACTORS[at & 4095]
         salt = np.array([zlib.crc32(n.encode()) for n in langs], np.uint64) << np.uint64(20)
         number = {n: k for k, n in enumerate(dict.fromkeys(langs))}
@@ -123,46 +122,70 @@ class Transducer:
         self.words, self.first, self.symbol, self.count, self.target = words, first, symbol, count, target
 
     @classmethod
-    def build(cls, items: Iterable[tuple[tuple[str, ...], int]]) -> Transducer:
-        """From n-grams in order; the last state is the root."""
+    def build(cls, rows: np.ndarray, words: list[str]) -> Transducer:
+        """From n-grams in order: rows of LONGEST word numbers (from 1; 0 behind the last) and a count, numbered in the words' order. The last state is the root."""
         register: dict[tuple, int] = {(): 0}
-        path: list[list] = [[]]  # the open states' arcs, from the root: [word, count, target]
-        last: tuple[str, ...] = ()
-        for words, n in items:
-            same = 0
-            while same < len(last) and same < len(words) and last[same] == words[same]:
-                same += 1
-            while len(path) > same + 1:  # these states get no more arcs
-                closed = tuple(map(tuple, path.pop()))
-                path[-1][-1][2] = register.setdefault(closed, len(register))
-            for w in words[same:]:
-                path[-1].append([w, 0, 0])
-                path.append([])
-            path[len(words) - 1][-1][1] = n
-            last = words
-        while len(path) > 1:
-            closed = tuple(map(tuple, path.pop()))
-            path[-1][-1][2] = register.setdefault(closed, len(register))
-        states = [*register, tuple(map(tuple, path[0]))]
-        names = sorted({w for arcs in states for w, _, _ in arcs})
-        number = {w: k for k, w in enumerate(names)}
-        flat = [a for arcs in states for a in arcs]
-        first = np.cumsum([0, *map(len, states)], dtype=np.int32)
-        return cls(names, first, np.array([number[a[0]] for a in flat], np.int32), np.array([a[1] for a in flat], np.int64), np.array([a[2] for a in flat], np.int32))
+        # the open states' arcs, from the root: word, count, target, and so on
+        path: list[list[int]] = [[] for _ in range(LONGEST + 1)]
+        last = [0] * LONGEST
+
+        def close(level: int) -> None:
+            """The state at a level gets no more arcs: it becomes one with an equal one, if there is any."""
+            arcs = tuple(path[level])
+            path[level] = []
+            path[level - 1][-1] = register.setdefault(arcs, len(register))
+
+        for k in range(0, len(rows), 20_000):
+            for *gram, n in rows[k : k + 20_000].tolist():
+                same = 0
+                while gram[same] == last[same]:
+                    same += 1
+                for level in range(LONGEST - 1, same, -1):
+                    if path[level]:
+                        close(level)
+                while same < LONGEST and gram[same]:
+                    path[same] += (gram[same], 0, 0)
+                    same += 1
+                path[same - 1][-2] = n
+                last = gram
+        for level in range(LONGEST - 1, 0, -1):
+            if path[level]:
+                close(level)
+        states = [*register, tuple(path[0])]
+        flat = np.array([x for arcs in states for x in arcs], np.int64).reshape(-1, 3)
+        used, symbol = np.unique(flat[:, 0], return_inverse=True)
+        first = np.cumsum([0, *(len(arcs) // 3 for arcs in states)], dtype=np.int32)
+        return cls([words[x - 1] for x in used.tolist()], first, symbol.astype(np.int32), flat[:, 1], flat[:, 2].astype(np.int32))
+
+    @classmethod
+    def of(cls, items: Iterable[tuple[tuple[str, ...], int]]) -> Transducer:
+        """From sorted n-grams as words."""
+        items = list(items)
+        words = sorted({w for gram, _ in items for w in gram})
+        number = {w: k for k, w in enumerate(words, 1)}
+        rows = [[*(number[w] for w in gram), *[0] * (LONGEST - len(gram)), n] for gram, n in items]
+        return cls.build(np.array(rows, np.int64).reshape(-1, LONGEST + 1), words)
+
+    def rows(self) -> np.ndarray:
+        """All n-grams as rows of word numbers from 1 and a count, by length: a level of arcs at a time."""
+        arc, before, out = np.arange(self.first[-2], self.first[-1]), np.zeros((self.first[-1] - self.first[-2], 0), np.int64), [np.zeros((0, LONGEST + 1), np.int64)]
+        while len(arc):
+            before = np.column_stack([before, self.symbol[arc] + 1])
+            own = self.count[arc] > 0
+            level = np.zeros((own.sum(), LONGEST + 1), np.int64)
+            level[:, : before.shape[1]], level[:, LONGEST] = before[own], self.count[arc[own]]
+            out.append(level)
+            begin = self.first[self.target[arc]].astype(np.int64)
+            size = self.first[self.target[arc] + 1] - begin
+            of = np.repeat(np.arange(len(arc)), size)
+            arc, before = begin[of] + np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size), before[of]
+        return np.concatenate(out)
 
     def items(self) -> Iterator[tuple[tuple[str, ...], int]]:
         """All n-grams in order, with their counts."""
-        words = self.words
-        first, symbol, count, target = (x.tolist() for x in (self.first, self.symbol, self.count, self.target))
-        stack: list[tuple[int, tuple[str, ...]]] = [(k, ()) for k in range(first[-1] - 1, first[-2] - 1, -1)]
-        while stack:
-            arc, before = stack.pop()
-            own = (*before, words[symbol[arc]])
-            if count[arc]:
-                yield own, count[arc]
-            state = target[arc]
-            if state:
-                stack.extend((k, own) for k in range(first[state + 1] - 1, first[state] - 1, -1))
+        rows = self.rows()
+        for *gram, n in rows[in_order(rows)].tolist():
+            yield tuple([self.words[x - 1] for x in gram if x]), n
 
     def compose(self, parts: list[tuple[str, ...]]) -> list[int]:
         """The counts of sorted n-grams (0 for those that aren't there), walking both in step: what neighbours share is walked once."""
@@ -204,21 +227,28 @@ class Transducer:
         return cls(raw[20 : 20 + told].decode().split("\n") if told else [], parts[0], parts[1], parts[3].astype(np.int64), parts[2])
 
 
-def united(parts: list[Transducer], least: int = 1) -> Transducer:
-    """All n-grams of the parts, weights summed, without those below `least`."""
+def in_order(rows: np.ndarray) -> np.ndarray:
+    return np.lexsort(rows[:, LONGEST - 1 :: -1].T)
 
-    def summed() -> Iterator[tuple[tuple[str, ...], int]]:
-        last, total = None, 0
-        for words, n in heapq.merge(*(p.items() for p in parts)):
-            if words != last:
-                if total >= least and last is not None:
-                    yield last, total
-                last, total = words, 0
-            total += n
-        if last is not None and total >= least:
-            yield last, total
 
-    return Transducer.build(summed())
+def united(parts: list[Transducer], least: int = 1) -> Transducer:
+    """All n-grams of the parts, weights summed, without those below `least`: their arcs are numbered alike, put in order and added up."""
+    words = sorted(set().union(*(p.words for p in parts)))
+    number = {w: k for k, w in enumerate(words, 1)}
+    every = [np.zeros((0, LONGEST + 1), np.int64)]
+    for p in parts:
+        rows = p.rows()
+        rows[:, :LONGEST] = np.array([0, *(number[w] for w in p.words)])[rows[:, :LONGEST]]
+        every.append(rows)
+    rows = np.concatenate(every)
+    rows = rows[in_order(rows)]
+    if len(rows):
+        begin = np.flatnonzero(np.append(True, (rows[1:, :LONGEST] != rows[:-1, :LONGEST]).any(axis=1)))
+        total = np.add.reduceat(rows[:, LONGEST], begin)
+        rows = rows[begin]
+        rows[:, LONGEST] = total
+        rows = rows[total >= least]
+    return Transducer.build(rows, words)
 
 
 class Buckets:
@@ -323,7 +353,7 @@ def is_set(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 class Ngrams:
-    """Sorted rows of word numbers and a count, read as n-grams a few at a time."""
+    """Sorted rows of word numbers from 1 and a count."""
 
     def __init__(self, rows: np.ndarray, words: list[str]):
         self.rows, self.words = rows, words
@@ -332,18 +362,12 @@ class Ngrams:
         return len(self.rows)
 
     def words_of(self, k: int) -> tuple[str, ...]:
-        return tuple([self.words[x] for x in self.rows[k, :LONGEST].tolist() if x])
+        return tuple([self.words[x - 1] for x in self.rows[k, :LONGEST].tolist() if x])
 
     def before(self, words: tuple[str, ...]) -> int:
         """How many n-grams stand before this one."""
         return bisect_left(range(len(self)), words, key=self.words_of)
 
-    def items(self, start: int, end: int, step: int = 20_000) -> Iterator[tuple[tuple[str, ...], int]]:
-        words = self.words
-        for k in range(start, end, step):
-            for r in self.rows[k : min(k + step, end)].tolist():
-                yield tuple([words[x] for x in r[:LONGEST] if x]), r[LONGEST]
-
 
 class Shard:
     """The words of some documents as numbers, 0 for those that are not frequent, and which pairs are frequent."""
@@ -397,10 +421,10 @@ class Shard:
             a, b = code >> 32, code & 0xFFFFFFFF
             take([left[a], right[a], left[b], right[b]], n)
         rows = np.concatenate(grams)
-        rows = rows[np.lexsort(rows[:, LONGEST - 1 :: -1].T if LONGEST > 1 else rows[:, :1].T)] if len(rows) else rows
+        rows = rows[in_order(rows)]
         self.parts, self.number = [], {}  # what the rows hold isn't held twice
         langs = [x[0] for x in names]
-        words = ["", *(x[1] for x in names)]
+        words = [x[1] for x in names]
         begin = 0
         while begin < len(rows):
             lang = langs[rows[begin, 0] - 1]
@@ -424,7 +448,7 @@ def counted(docs: DataFrame, seen: dict[int, np.ndarray], bounds: list[tuple[str
                 base = bisect_left(cuts, (lang,))
                 for k, (x, y) in enumerate(zip(places, places[1:], strict=False)):
                     if x < y:
-                        yield record(base + k, lang, y - x, Transducer.build(items.items(x, y)).pack())
+                        yield record(base + k, lang, y - x, Transducer.build(items.rows[x:y], items.words).pack())
 
         shard = Shard()
         for words, langs in batches_of(batches, none):

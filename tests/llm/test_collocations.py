@@ -68,16 +68,16 @@ def test_words_that_share_a_hash_stay_apart(monkeypatch):
 def test_automata_keep_counts():
     rng = random.Random(8)
     counts = [Counter({tuple(rng.choice("abc") for _ in range(rng.randint(1, 4))): rng.randint(1, 9) for _ in range(rng.randint(0, 60))}) for _ in range(4)]
-    made = [co.Transducer.unpack(co.Transducer.build(sorted(c.items())).pack()) for c in counts]
+    made = [co.Transducer.unpack(co.Transducer.of(sorted(c.items())).pack()) for c in counts]
     assert [dict(m.items()) for m in made] == [dict(c) for c in counts]
     whole = co.united(made, least=5)
     summed = {p: n for p, n in sum(counts, Counter()).items() if n >= 5}
     assert dict(whole.items()) == summed and list(whole.items()) == sorted(summed.items())
     asked = sorted({tuple(rng.choice("abcd") for _ in range(rng.randint(1, 4))) for _ in range(300)})
     assert whole.compose(asked) == [summed.get(p, 0) for p in asked]
-    big = co.Transducer.unpack(co.Transducer.build([(("a",), 1 << 40), (("a", "b"), 3)]).pack())
+    big = co.Transducer.unpack(co.Transducer.of([(("a",), 1 << 40), (("a", "b"), 3)]).pack())
     assert dict(big.items()) == {("a",): 1 << 40, ("a", "b"): 3}
-    tail = co.Transducer.build([((x, "same", "tail"), 2) for x in "abcdefgh"])
+    tail = co.Transducer.of([((x, "same", "tail"), 2) for x in "abcdefgh"])
     assert len(tail.first) - 1 == 4  # what eight branches end with is kept once
 
 
