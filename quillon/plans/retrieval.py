@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions import vectors as V
-from quillon.functions.text import normal_title, similarity
 from quillon.operators import affinity as A
 from quillon.operators import filters as H
 from quillon.operators import knn, lexical, quantiles, ranking
@@ -309,19 +308,6 @@ def recommend(spark, sf, filters: H.HardFilters = FILTERS):
 NORMAL = "regexp_replace(trim(regexp_replace(translate(lower(title), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^\\p{L}\\p{N}]+', ' ', 'g')), '^(the|a|an|le|la|les|un|une|der|die|das|el|los|las|il|lo) (.)', '\\2')"
 
 
-@query("jn13_title_resolution", T.SQL + f""", n AS (SELECT item, {NORMAL} AS name, popularity FROM items), q AS (SELECT item AS query, left(name, length(name) - 1) || 'x' AS asked, split_part(name, ' ', 1) AS block FROM n WHERE item % 20 = 0)
-  SELECT query, item, round(sim, 6) AS similarity FROM (SELECT query, item, sim, row_number() OVER (PARTITION BY query ORDER BY sim DESC, popularity DESC, item) AS r FROM (
-    SELECT query, item, popularity, round(1.0 - levenshtein(asked, name) / greatest(length(asked), length(name)), 9) AS sim FROM q JOIN n ON split_part(name, ' ', 1) = block)) WHERE r = 1 AND sim >= 0.6""")
-def title_resolution(spark, sf):
-    from pyspark.sql.window import Window
-
-    n = T.items(spark, sf).select("item", normal_title(F.col("title")).alias("name"), "popularity").withColumn("block", F.split_part("name", F.lit(" "), F.lit(1)))
-    q = n.where("item % 20 = 0").select(F.col("item").alias("query"), F.expr("concat(left(name, length(name) - 1), 'x')").alias("asked"), "block")
-    pairs = q.join(n, "block").withColumn("sim", F.round(similarity(F.col("asked"), F.col("name")), 9))
-    best = pairs.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("sim"), F.desc("popularity"), "item")))
-    return best.where("r = 1 and sim >= 0.6").select("query", "item", F.round("sim", 6).alias("similarity"))
-
-
 COSTS = T.SQL + FLAGS + ENTITIES + CHANNELS + ", scored AS (SELECT f.*, round(rrf, 9) AS score FROM rrf JOIN flags f USING (item))"
 CLAUSES = ["runtime_min", "runtime_max", "popularity_min", "include_countries", "exclude_keywords", "exclude_people", "exclude_ids"]
 OTHERS = {c: " AND ".join(o for o in CLAUSES if o != c) for c in CLAUSES}
