@@ -10,7 +10,8 @@ are read once for each shard, and a document's findings in several shards are un
 
 Defined results: null or empty texts have no words and are never hit; an item without words has no window and
 occurs nowhere; repeated documents give one row each; items with the same text are found together; items with
-the same id count once; very long texts are read whole; further columns are ignored.
+the same id count once, those without an id as one item whose id is empty; very long texts are read whole; an empty
+table of documents gives no rows, one of items no hits; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -121,8 +122,13 @@ PLACES = "array<struct<first:long,end:long,first_byte:long,end_byte:long>>"
 RESULT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, hit_bytes array<struct<first:long,end:long>>"
 
 
+def named(items: set) -> list[str]:
+    """Item ids as sorted text; a null id is an empty one."""
+    return sorted("" if i is None else str(i) for i in items)
+
+
 def digest(items: set) -> str:
-    return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
+    return hashlib.sha256(",".join(named(items)).encode()).hexdigest()
 
 
 def scan(docs: DataFrame, items: list, window: int, text: str, key: str, part: bool = False) -> DataFrame:
@@ -142,7 +148,7 @@ def scan(docs: DataFrame, items: list, window: int, text: str, key: str, part: b
             spans = covered(spans)
             places = offsets(data, spans) if spans else []
             if part:
-                made.append((hashlib.sha256(data).hexdigest(), n, [dict(zip(PLACE, (*s, *p), strict=True)) for s, p in zip(spans, places, strict=True)], sorted(map(str, found))))
+                made.append((hashlib.sha256(data).hexdigest(), n, [dict(zip(PLACE, (*s, *p), strict=True)) for s, p in zip(spans, places, strict=True)], named(found)))
             else:
                 made.append((n, sum(b - a for a, b in spans), len(found), digest(found), bool(spans), [{"first": a, "end": b} for a, b in places]))
         kinds = [pa.string(), pa.int64(), span, pa.list_(pa.string())] if part else [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), span]

@@ -34,7 +34,8 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
-    return found.drop("hit_bytes")
+    span = F.transform("hit_bytes", lambda s: F.concat_ws("-", s["first"], s["end"]))
+    return found.withColumn("hit_bytes", F.array_join(span, ","))
 
 
 ORACLE_SQL["op3_decontaminate"] = r"""
@@ -55,11 +56,17 @@ WITH iw AS (
 ), hit AS (
   SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(k, k + n - 1)) AS p FROM m) GROUP BY doc_id
 ), it AS (
-  SELECT doc_id, count(*) AS n_items, sha256(string_agg(i, ',' ORDER BY i)) AS sha FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM m) GROUP BY doc_id
+  SELECT doc_id, count(*) AS n_items, sha256(string_agg(i, ',' ORDER BY i)) AS sha FROM (SELECT DISTINCT doc_id, coalesce(CAST(item_id AS VARCHAR), '') AS i FROM m) GROUP BY doc_id
+), span AS (
+  SELECT doc_id, min(p) AS a, max(p) AS b FROM (SELECT doc_id, p, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS g FROM (SELECT DISTINCT doc_id, unnest(generate_series(k, k + n - 1)) AS p FROM m)) GROUP BY doc_id, g
+), place AS (
+  SELECT doc_id, string_agg(first || '-' || last, ',' ORDER BY first) AS hit_bytes FROM (
+    SELECT doc_id, list_sum(list_transform(gaps[1 : a], lambda x: strlen(x))) + coalesce(list_sum(list_transform(w[1 : a - 1], lambda x: strlen(x))), 0) AS first, list_sum(list_transform(gaps[1 : b], lambda x: strlen(x))) + list_sum(list_transform(w[1 : b], lambda x: strlen(x))) AS last
+    FROM span JOIN dw USING (doc_id) JOIN (SELECT doc_id, regexp_split_to_array(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS gaps FROM documents) USING (doc_id)) GROUP BY doc_id
 )
 SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-  coalesce(sha, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
+  coalesce(sha, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(hit_bytes, '') AS hit_bytes
+FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id) LEFT JOIN place USING (doc_id)
 """
 
 
