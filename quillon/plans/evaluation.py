@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from quillon.operators import affinity as A
 from quillon.operators import evaluation as E
 from quillon.operators import knn, quantiles, ranking
+from quillon.operators import splits as S
 from quillon.plans import adapter as T
 from quillon.plans.registry import query
 from quillon.plans.retrieval import CENTROIDS
@@ -201,21 +202,27 @@ def single_centroid(spark, sf):
     return ranking.ranked(scores, 10, groups=["user"]).select("user", "item", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-@query("ev18_bootstrap_interval")
+@query("ev19_mean_interval")
 def bootstrap(spark, sf):
+    """The interval of the mean over users of what popularity gets."""
     r, test, _ = popular(spark, sf)
     values = E.metrics(r, test).select(F.lit("popularity").alias("arm"), F.col("user").alias("id"), F.col("ndcg").alias("value"))
     return E.bootstrap_mean(values, ["arm"])
 
 
+@query("ev18_bootstrap_interval")
+def intervals(spark, sf):
+    """Each user's interval of NDCG over draws of the judged items."""
+    r, test, _ = popular(spark, sf)
+    return S.intervals(test, r)
+
+
 @query("ev20_paired_bootstrap")
 def paired(spark, sf):
-    """The interval of the difference in NDCG between two rankings of the same users; both sides share each draw."""
+    """Each user's interval of the difference between the popular and the cheap items, and how often the popular ones win; both see the same draws."""
     r, test, train = popular(spark, sf)
     other = unseen(T.items(spark, sf).select("item", (-F.col("popularity")).alias("popularity")), test, train)
-    a, b = E.metrics(r, test).select("user", F.col("ndcg").alias("a")), E.metrics(other, test).select("user", F.col("ndcg").alias("b"))
-    values = a.join(b, "user").select(F.lit("popular - cheap").alias("arm"), F.col("user").alias("id"), (F.col("a") - F.col("b")).alias("value"))
-    return E.bootstrap_mean(values, ["arm"])
+    return S.intervals(test, r, other)
 
 
 @query("wn2_average_ranks", T.SQL + " SELECT item, round(rank() OVER (PARTITION BY genre ORDER BY runtime) - 1 + (count(*) OVER (PARTITION BY genre, runtime) - 1) / 2.0, 6) AS rank FROM items")
