@@ -12,6 +12,7 @@ from quillon.operators import knn, lexical, quantiles, ranking
 from quillon.plans import adapter as T
 from quillon.plans.registry import query
 from quillon.session import table
+from quillon.storage import written
 
 USER = 3
 FILTERS = H.HardFilters(runtime_min=5, runtime_max=45, popularity_min=905.0, include={"countries": frozenset({1, 2, 3, 4, 5, 6, 7, 8})}, exclude={"keywords": frozenset({"red", "blue"}), "people": frozenset({7})}, exclude_ids=frozenset({11, 12}))
@@ -285,12 +286,12 @@ def features(spark, sf) -> DataFrame:
 
 @query("rt10_scaled_features", T.SQL + FEATURES + " SELECT feature, item, how, round(scaled, 6) AS scaled FROM sc")
 def scaled(spark, sf):
-    return quantiles.scaled(features(spark, sf), ["feature"]).select("feature", "item", "how", F.round("scaled", 6).alias("scaled"))
+    return quantiles.scaled(written(features(spark, sf), "features"), ["feature"]).select("feature", "item", "how", F.round("scaled", 6).alias("scaled"))
 
 
 @query("rt12_linear_score", T.SQL + FEATURES + " SELECT item, round(sum(CASE feature WHEN 'popularity' THEN 0.4 WHEN 'vote_quality' THEN 0.8 WHEN 'runtime' THEN -0.1 ELSE 0.0 END * scaled) + 0.05, 6) AS score FROM sc GROUP BY 1")
 def linear(spark, sf):
-    out = ranking.linear(quantiles.scaled(features(spark, sf), ["feature"]), {"popularity": 0.4, "vote_quality": 0.8, "runtime": -0.1}, 0.05)
+    out = ranking.linear(quantiles.scaled(written(features(spark, sf), "features"), ["feature"]), {"popularity": 0.4, "vote_quality": 0.8, "runtime": -0.1}, 0.05)
     return out.select("item", F.round("score", 6).alias("score"))
 
 
