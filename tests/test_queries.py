@@ -37,8 +37,8 @@ def rows(frame, columns):
 def test_query(spark, oracle, name):
     got = QUERIES[name](spark, SF)
     if name not in ORACLE_SQL:
-        assert got.columns and got.schema == QUERIES[name](spark, SF).schema
-        got.count()
+        rows_of = got.collect()
+        assert got.columns and all(len(r) == len(got.columns) for r in rows_of)
         return
     got, want = got.toPandas(), oracle.sql(ORACLE_SQL[name]).df()
     columns = sorted(got.columns)
