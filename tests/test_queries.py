@@ -1,5 +1,6 @@
 """Every registered query against its SQL over the smallest tables; those without SQL give rows of a stable schema."""
 
+import functools
 import math
 import os
 
@@ -12,6 +13,17 @@ SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
+@pytest.fixture(scope="module", autouse=True)
+def shared():
+    """What several queries build on is computed once for this module."""
+    from quillon.plans import experiments, learning, recommend
+
+    with pytest.MonkeyPatch.context() as patch:
+        for module, name in ((learning, "values"), (learning, "fits"), (recommend, "lists"), (experiments, "results")):
+            patch.setattr(module, name, functools.lru_cache(getattr(module, name)))
+        yield
+
+
 @pytest.fixture(scope="module")
 def oracle():
     con = duckdb.connect()
