@@ -9,13 +9,16 @@ candidates; repeated rows give the same findings each; whole texts are scanned,
 neighbours; an empty table gives no findings; a null path counts as empty; further columns are left alone, also
 where they are named like the operator's.
 
-Which letters follow which is learned from words of the documents at hand, a bounded sample, and these words, shouted and
-joined, are labelled false positives beside those made by rule: whatever the language, its words are no secrets.
+Which letters follow which is counted over the distinct words (3 to 24 letters a to z) of all documents at hand, whole texts.
+Words drawn by these counts, shouted and joined, are labelled false positives beside those made by rule: whatever the
+language, its words are no secrets.
 """
 
 from __future__ import annotations
 
 import math
+import random
+from collections import Counter
 from typing import NamedTuple
 
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
@@ -25,8 +28,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillon.llm._common import written
-
 #: Key words that assign secrets, words beside other long values, places of examples, common words.
 ASSIGNS = r"(?i:pass(?:word|wd|phrase)|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?\s{0,3}[:=]\s{0,3}[\"']?"
 CANDIDATE = ASSIGNS + r"[^\s\"']{8,}|(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*+[0-9]|[A-Za-z_+/=-]*?[A-Za-z][A-Z])[A-Za-z0-9_+/=-]{16,}"
@@ -49,12 +50,13 @@ DICTIONARY = """
 """.split()
 FEATURES = ["n", "digits", "upper", "lower", "changes", "distinct", "hexadecimal", "numeric", "dictionary", "transitions", "assigned", "secret_word", "other_word", "closed", "called", "after_secret_word", "after_other_word", "example", "depth"]
 
-#: Labelled findings that a forest is fitted on at most; trees and their depth.
-LABELLED, TREES, DEPTH = 20_000, 24, 8
+#: Trees and their depth; labelled findings of a task, about.
+TREES, DEPTH, ROWS = 24, 8, 20_000
 #: Characters before and behind a value that are looked at; distinct characters that count as many.
 BEFORE, AFTER, ALPHABET = 48, 16, 64
-#: Documents that words are learned from, characters of each, and words: those of the smallest hashes.
-SAMPLED, PIECE, WORDS = 200, 4_000, 2_000
+#: What counts as a word once lower-cased, letters of the shortest and the longest, marks around it; words drawn for false positives.
+SHORTEST, LONGEST, START, END, WORDS = 3, 24, "^", "$", 2_000
+WORD = rf"(?<![\p{{L}}\p{{N}}])[a-z]{{{SHORTEST},{LONGEST}}}+(?![\p{{L}}\p{{N}}])"
 
 
 class Detector(NamedTuple):
@@ -69,27 +71,47 @@ def share(value: Column, pattern: str) -> Column:
     return 1 - F.length(F.regexp_replace(value, pattern, "")) / F.greatest(F.length(value), F.lit(1))
 
 
-def sampled_words(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(word, place): lower-case words of letters a to z from the documents of the smallest hashes; at most WORDS, written once."""
-    some = docs.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("h"), F.substring(text, 1, PIECE).alias("t")).orderBy("h", "t").limit(SAMPLED)
-    words = some.select(F.explode(F.expr(r"regexp_extract_all(lower(t), '(?<![\\p{L}\\p{N}])[a-z]{3,24}(?![\\p{L}\\p{N}])', 0)")).alias("word")).distinct()
-    few = words.orderBy(F.xxhash64("word"), "word").limit(WORDS)
-    return written(few.select("word", F.row_number().over(Window.orderBy(F.xxhash64("word"), "word")).alias("place")), "words")
+def letter_counts(docs: DataFrame, text: str = "text") -> dict[str, int]:
+    """How often each three neighbouring letters stand in the distinct words of all documents, lower-cased; START twice before a word and END behind it. At most 27 * 27 * 27 counts reach the driver."""
+    words = docs.select(F.col(text).alias("_text")).select(F.explode(F.array_distinct(F.expr(f"regexp_extract_all(lower(_text), {quoted(WORD)}, 0)"))).alias("word")).distinct()
+    return dict(triples(words).groupBy("triple").count().collect())
+
+
+def triples(words: DataFrame) -> DataFrame:
+    marked = F.concat(F.lit(2 * START), "word", F.lit(END))
+    return words.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word") + 1), lambda i: F.substr(marked, i, F.lit(3)))).alias("triple"))
 
 
-def learned_transitions(words: DataFrame) -> list[float]:
-    """log2 of how likely each letter is behind each other one, in the words and the dictionary; at most 26 times 26 counts reach the driver."""
-    own = words.select("word").unionByName(words.sparkSession.createDataFrame([(w,) for w in DICTIONARY], "word string"))
-    pairs = own.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substr("word", i, F.lit(2)))).alias("pair")).where("pair rlike '^[a-z]{2}$'")
-    seen = {r.pair: r["count"] for r in pairs.groupBy("pair").count().collect()}
+def learned_transitions(counts: dict[str, int]) -> list[float]:
+    """log2 of how likely each letter is behind each other one, in the counted words and the dictionary."""
+    seen = Counter(w[i : i + 2] for w in DICTIONARY for i in range(len(w) - 1))
+    for triple, n in counts.items():
+        seen[triple[1:]] += n
     out = [0.0] * 27 * 27
     for a in range(26):
-        row = [seen.get(chr(97 + a) + chr(97 + b), 0) + 0.5 for b in range(26)]
+        row = [seen[chr(97 + a) + chr(97 + b)] + 0.5 for b in range(26)]
         for b in range(26):
             out[27 * a + b] = math.log2(row[b] / sum(row))
     return out
 
 
+def typical_words(counts: dict[str, int], n: int = WORDS, seed: int = 11) -> list[str]:
+    """n words drawn letter by letter, each letter as often behind the two before it as in the counted words; none if no word was counted."""
+    behind: dict[str, tuple[list[str], list[int]]] = {}
+    for triple, k in sorted(counts.items()):
+        letters, weights = behind.setdefault(triple[:2], ([], []))
+        letters.append(triple[2])
+        weights.append(k)
+    draw, out = random.Random(seed), []
+    while counts and len(out) < n:
+        word = 2 * START
+        while word[-1] != END:
+            word += draw.choices(*behind[word[-2:]])[0]
+        if SHORTEST <= len(word) - 3 <= LONGEST:
+            out.append(word[2:-1])
+    return out
+
+
 def mean_transition(value: Column, transitions: list[float]) -> Column:
     """The mean log2 odds of a value's neighbouring letters; 0 without any."""
     low = F.lower(value)
@@ -180,7 +202,7 @@ def labelled_findings(spark: SparkSession, n: int = 4000) -> DataFrame:
 
 
 def word_findings(words: DataFrame) -> DataFrame:
-    """False positives as prose has them: neighbouring words of the sample, shouted, joined in several ways, within other words."""
+    """False positives as prose has them: neighbouring words (word, place), shouted, joined in several ways, within other words."""
     place = Window.orderBy("place")
     w = [F.lead("word", k).over(place) for k in range(7)]
     own = words.select(*(c.alias(f"w{k}") for k, c in enumerate(w)), "place").where("w6 is not null")
@@ -199,18 +221,21 @@ def word_findings(words: DataFrame) -> DataFrame:
     return found.where(F.length("value") >= 16)
 
 
-def fit(findings: DataFrame, words: DataFrame, seed: int = 11) -> Detector:
-    """A forest fitted on labelled findings (value, before, after, path, label), at most LABELLED of them in order of a hash, and on the words as false positives."""
-    transitions = learned_transitions(words)
+def fit(findings: DataFrame, counts: dict[str, int], seed: int = 11) -> Detector:
+    """A forest fitted on all labelled findings (value, before, after, path, label), and on words as those counted as false positives."""
+    transitions = learned_transitions(counts)
+    words = findings.sparkSession.createDataFrame(list(enumerate(typical_words(counts))), "place int, word string")
     every = findings.unionByName(word_findings(words))
-    bounded = every.orderBy(F.xxhash64("value", "before", "path"), "value", "before", "after").limit(LABELLED)
-    rows = vectors(features(bounded, transitions)).select("features", "label")
+    # rows lie in tasks by their hash, in order: the same findings give the same forest in every session
+    order = [F.xxhash64("value", "before", "path"), "value", "before", "after", "path", "label"]
+    placed = every.repartition(1 + every.count() // ROWS, order[0]).sortWithinPartitions(*order)
+    rows = vectors(features(placed, transitions)).select("features", "label")
     return Detector(RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=seed, featureSubsetStrategy="sqrt").fit(rows), transitions)
 
 
 def detector(docs: DataFrame, text: str = "text") -> Detector:
-    """Fitted on findings by rule and on words of these documents."""
-    return fit(labelled_findings(docs.sparkSession), sampled_words(docs, text))
+    """Fitted on findings by rule and on the words of all these documents."""
+    return fit(labelled_findings(docs.sparkSession), letter_counts(docs, text))
 
 
 def vectors(described: DataFrame) -> DataFrame:

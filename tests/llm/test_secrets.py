@@ -1,4 +1,6 @@
+import math
 import re
+from collections import Counter
 
 import pytest
 
@@ -110,3 +112,32 @@ def test_shouted_prose_of_every_language_is_no_secret(spark, model):
     assert sc.scan(planted, model, path="source").where("secret").select("doc_id").distinct().count() >= 18
     told = sc.scan(docs, model, path="source").where("secret and not assigned").join(docs.select("doc_id", "text"), "doc_id").selectExpr("substring(text, cast(start + 1 as int), cast(length as int)) as v").collect()
     assert not [r.v for r in told if r.v.isalpha() and r.v.isupper() and not r.v.startswith("AKIA")]
+
+
+def test_letters_are_counted_over_all_words_of_all_documents(spark):
+    syllables = ["ka", "zu", "xi", "bro", "ling", "wet", "qa", "fjo", "my", "dsch"]
+    made = [" ".join("".join(syllables[(i * 7 + j * k) % 10] for k in range(1, 2 + (i + j) % 4)) for j in range(30)) for i in range(400)]
+    texts = [*made, "the " * 2000 + "xyzzy plugh Wörter Straße abc1 zqj", "the " * 2000 + "a" * 25 + " " + "b" * 24, None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    words = {w for t in texts for w in re.findall(r"[^\W_]+", (t or "").lower()) if re.fullmatch("[a-z]{3,24}", w)}
+    assert {"xyzzy", "zqj", "b" * 24} < words and not {"abc1", "abc", "rter", "a" * 25} & words
+    pairs = Counter(w[i : i + 2] for own in (words, sc.DICTIONARY) for w in own for i in range(len(w) - 1))
+    counts = sc.letter_counts(docs)
+    assert counts == Counter(("^^" + w + "$")[i : i + 3] for w in words for i in range(len(w) + 1))
+    odds = sc.learned_transitions(counts)
+    for a in range(26):
+        row = [pairs[chr(97 + a) + chr(97 + b)] + 0.5 for b in range(26)]
+        assert odds[27 * a : 27 * a + 26] == pytest.approx([math.log2(x / sum(row)) for x in row])
+
+
+def test_words_are_drawn_as_counted(spark):
+    counts = Counter(("^^" + w + "$")[i : i + 3] for w in ("kab", "kabab", "zum") for i in range(len(w) + 1))
+    drawn = sc.typical_words(counts, 300)
+    assert len(drawn) == 300 and all(re.fullmatch("ka(ba)*b|zum", w) for w in drawn)
+    assert {"kab", "kabab", "kababab", "zum"} <= set(drawn) and 60 < drawn.count("zum") < 140
+    assert sc.typical_words({}) == []
+
+
+def test_a_forest_is_fitted_on_all_labelled_findings(spark):
+    given = sc.labelled_findings(spark, 20_500)
+    assert sc.fit(given, {}).forest.summary.predictions.count() == 20_500
