@@ -189,3 +189,26 @@ def test_silhouette_of_many_points_needs_no_matrix_of_pairs():
     far = 1 - x @ x.T
     inside, outside = [np.array([np.where(np.arange(4000) // 2000 == (i // 2000 + o) % 2, far[i], 0).sum() / (1999 + o) for i in range(4000)]) for o in (0, 1)]
     assert abs(got - np.mean((outside - inside) / np.maximum(inside, outside))) < 1e-6 and peak < 20 << 20
+
+
+def test_a_head_reaches_as_far_as_it_was_seen(spark, monkeypatch):
+    from quillon.plans import evaluation as ev
+
+    items = spark.range(2200).select(F.col("id").alias("item"), (-F.col("id")).cast("double").alias("popularity"))
+    # the first user has seen the 2,000 least popular items, which its list never meets
+    seen = spark.range(200, 2200).select(F.lit(1).cast("long").alias("user"), F.col("id").alias("item")).union(spark.createDataFrame([(2, 0), (2, 0), (2, 2)], "user long, item long"))
+    pairs, ranked = [], ev.ranking.ranked
+    monkeypatch.setattr(ev.ranking, "ranked", lambda rows, *a: (pairs.append(rows.count()), ranked(rows, *a))[1])
+    out = ev.unseen(items, spark.createDataFrame([(1,), (2,)], "user long"), seen)
+    got = {u: [r.item for r in out.where(F.col("user") == u).orderBy("rank").collect()] for u in (1, 2)}
+    assert got == {1: list(range(50)), 2: [1, *range(3, 52)]} and pairs == [100]
+
+
+def test_affinities_without_support_sort_nothing(spark):
+    from quillon.operators import affinity
+
+    rated = spark.createDataFrame([(u, i, (i % 5) - 2.0) for u in (1, 2) for i in range(30)], "user long, item long, z double")
+    bridge = spark.createDataFrame([(k, str(i % m), i) for i in range(40) for k, m in (("director", 7), ("keyword", 3))], "kind string, entity string, item long")
+    plain = affinity.affinities(rated, bridge, support=False)
+    assert sorted(plain.collect()) == sorted(affinity.affinities(rated, bridge).drop("support").collect())
+    assert "Window" not in plain._jdf.queryExecution().optimizedPlan().toString()
