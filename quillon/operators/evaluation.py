@@ -55,19 +55,24 @@ def relevance(half: Column) -> Column:
     return F.when(half >= 9, 3).when(half == 8, 2).when(half == 7, 1).otherwise(0)
 
 
-def metrics(ranking: DataFrame, judged: DataFrame, k: int = 10, recall_k: int = 50, recall_rel: int = 2) -> DataFrame:
-    """(user, ndcg, recall, mrr) from rankings (user, item, rank) and judgements (user, item, rel); items not judged gain nothing."""
+def metrics(ranking: DataFrame, judged: DataFrame, k: int = 10, recall_k: int = 50, recall_rel: int = 2, asked: DataFrame | None = None) -> DataFrame:
+    """(user, ndcg, recall, mrr) from rankings (user, item, rank) and judgements (user, item, rel); items not judged gain nothing.
+
+    With `asked`, rows of a user and what tells its rankings apart, rankings hold these columns too and each row gets its metrics;
+    what a user's judgements allow at best is found once.
+    """
+    keys = ["user"] if asked is None else asked.columns
     gain = F.pow(F.lit(2.0), F.col("rel")) - 1
     ideal = judged.withColumn("_p", F.row_number().over(Window.partitionBy("user").orderBy(F.desc("rel"), "item"))).groupBy("user")
     ideal = ideal.agg(F.sum(F.when(F.col("_p") <= k, gain / F.log2(F.col("_p") + 1.0))).alias("_ideal"), F.count_if(F.col("rel") >= recall_rel).alias("_wanted"))
-    hits = ranking.where(F.col("rank") <= max(k, recall_k)).join(judged, ["user", "item"]).groupBy("user").agg(
+    hits = ranking.where(F.col("rank") <= max(k, recall_k)).join(judged, ["user", "item"]).groupBy(*keys).agg(
         F.sum(F.when(F.col("rank") <= k, gain / F.log2(F.col("rank") + 1.0)).otherwise(0.0)).alias("_dcg"),
         F.count_if((F.col("rel") >= recall_rel) & (F.col("rank") <= recall_k)).alias("_hit"),
         F.min(F.when((F.col("rel") >= 1) & (F.col("rank") <= recall_k), F.col("rank"))).alias("_first"),
     )
-    both = ideal.join(hits, "user", "left")
+    both = (ideal if asked is None else asked.join(ideal, "user")).join(hits, keys, "left")
     return both.select(
-        "user",
+        *keys,
         F.when(F.col("_ideal") > 0, F.coalesce("_dcg", F.lit(0.0)) / F.col("_ideal")).otherwise(0.0).alias("ndcg"),
         F.when(F.col("_wanted") > 0, F.coalesce("_hit", F.lit(0)) / F.col("_wanted")).otherwise(0.0).alias("recall"),
         F.coalesce(1.0 / F.col("_first"), F.lit(0.0)).alias("mrr"),

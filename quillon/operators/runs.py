@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillon.operators import evaluation as E
-from quillon.storage import small
+from quillon.storage import small, written
 
 #: Places of a ranking that are kept, metrics of a run.
 KEPT = 50
@@ -49,6 +49,7 @@ class Results:
         """Runs what isn't stored of arms and users, in one job; how many (arm, user) there were. The features of an arm and user that are stored are not joined."""
         due = users.select("user").distinct().crossJoin(F.broadcast(told.select("arm", "sha"))) if small(told, 200) else users.select("user").distinct().join(told.select("arm", "sha"), F.lit(True))
         due = due.join(self.rows().select("sha", "user").distinct(), ["sha", "user"], "left_anti")
+        due = written(due, "due")
         n = due.count()
         if n:
             self.append(measured(due, told, values, judged))
@@ -58,23 +59,24 @@ class Results:
 def rankings(due: DataFrame, told: DataFrame, values: DataFrame, k: int = KEPT) -> DataFrame:
     """(arm, sha, user, item, rank) of the k best candidates of each due (arm, sha, user): one pass over scaled rows (user, item, feature, scaled) for all arms.
 
+    A candidate's rows meet once, and all arms are scored from them: rows of features are not multiplied by arms.
     Candidates that an arm has no feature for have score 0; equal scores, to nine digits, are in order of the id.
     """
-    by_user = due.groupBy("user").agg(F.collect_list(F.struct("arm", "sha")).alias("_arms"))
-    sums = values.join(by_user, "user").select("user", "item", "feature", "scaled", F.explode("_arms").alias("a")).select("user", "item", "feature", "scaled", "a.arm", "a.sha")
-    weights = told.select("arm", F.explode("weights").alias("feature", "weight"))
-    scored = sums.join(F.broadcast(weights) if small(weights, 100) else weights, ["arm", "feature"], "left").groupBy("arm", "sha", "user", "item").agg(F.round(F.sum(F.coalesce(F.col("weight") * F.col("scaled"), F.lit(0.0))), 9).alias("score"))
+    weights = told.select("arm", "weights")
+    by_user = due.join(F.broadcast(weights) if small(weights, 2000) else weights, "arm").groupBy("user").agg(F.collect_list(F.struct("arm", "sha", "weights")).alias("_arms"))
+    own = values.groupBy("user", "item").agg(F.array_sort(F.collect_list(F.struct("feature", "scaled"))).alias("_f"))
+    total = lambda a: F.aggregate("_f", F.lit(0.0), lambda s, f: s + F.coalesce(F.element_at(a["weights"], f["feature"]) * f["scaled"], F.lit(0.0)))
+    each = own.join(F.broadcast(by_user) if small(due, 2000) else by_user, "user").select("user", "item", F.explode(F.transform("_arms", lambda a: F.struct(a["arm"].alias("arm"), a["sha"].alias("sha"), F.round(total(a), 9).alias("score")))).alias("a"))
+    scored = each.select("a.arm", "a.sha", "user", "item", "a.score")
     place = F.row_number().over(Window.partitionBy("arm", "sha", "user").orderBy(F.desc("score"), "item"))
     return scored.withColumn("rank", place).where(F.col("rank") <= k).select("arm", "sha", "user", "item", "rank")
 
 
 def measured(due: DataFrame, told: DataFrame, values: DataFrame, judged: DataFrame) -> DataFrame:
     """Results.KIND of each due (arm, sha, user): metrics of its ranking against judgements (user, item, rel)."""
-    key = F.struct("arm", "sha", "user").alias("user")
-    ranked = rankings(due, told, values).select(key, "item", "rank")
-    asked = due.join(judged.select("user", "item", "rel"), "user").select(key, "item", "rel")
-    found = E.metrics(ranked, asked)
-    return found.unpivot(["user"], list(METRICS), "metric", "value").select("user.arm", "user.sha", F.col("user.user").alias("user"), "metric", "value")
+    asked = due.select("arm", "sha", "user")
+    found = E.metrics(rankings(asked, told, values), judged.select("user", "item", "rel"), asked=asked)
+    return found.unpivot(["arm", "sha", "user"], list(METRICS), "metric", "value")
 
 
 def deltas(results: DataFrame, reference: str, folds: int = 8) -> DataFrame:

@@ -41,3 +41,12 @@ def test_arms_run_once_and_are_compared(spark, tmp_path):
     by_fold = [[got["other", u, "ndcg"] - got["base", u, "ndcg"] for u in us] for us in ((8, 16), (9,))]
     means = [sum(d) / len(d) for d in by_fold]
     assert deltas["other", "ndcg"].delta == pytest.approx(sum(means) / 2) and deltas["other", "ndcg"].better == sum(m > 1e-12 for m in means)
+
+
+def test_rows_of_features_are_not_multiplied_by_arms(spark):
+    told = runs.arms(spark, {"a": {"weights": {"x": 1.0}}, "b": {"weights": {"y": 2.0}}})
+    values = spark.createDataFrame([(1, i, f, float(i)) for i in range(5) for f in "xy"], "user long, item long, feature string, scaled double")
+    due = told.select("arm", "sha").crossJoin(spark.createDataFrame([(1,)], "user long"))
+    out = runs.rankings(due, told, values, 2)
+    assert sorted((r.arm, r.item, r["rank"]) for r in out.collect()) == [("a", 3, 2), ("a", 4, 1), ("b", 3, 2), ("b", 4, 1)]
+    assert "Aggregate [arm" not in out._jdf.queryExecution().optimizedPlan().toString()
