@@ -212,3 +212,17 @@ def test_affinities_without_support_sort_nothing(spark):
     plain = affinity.affinities(rated, bridge, support=False)
     assert sorted(plain.collect()) == sorted(affinity.affinities(rated, bridge).drop("support").collect())
     assert "Window" not in plain._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_affinities_of_what_is_asked_for(spark):
+    from quillon.operators import affinity
+
+    rated = spark.createDataFrame([(u, i, (i % 5) - 2.0) for u in (1, 2) for i in range(30)], "user long, item long, z double")
+    bridge = spark.createDataFrame([(k, str(i % m), i) for i in range(40) for k, m in (("director", 7), ("keyword", 3))], "kind string, entity string, item long")
+    among = [(1, "director", "3"), (1, "keyword", "1"), (2, "director", "6")]
+    every = {(r.user, r.kind, r.entity): r for r in affinity.affinities(rated, bridge).collect()}
+    got = affinity.affinities(rated, bridge, F.col("kind") == "director", spark.createDataFrame(among, "user long, kind string, entity string")).collect()
+    assert sorted((r.user, r.kind, r.entity) for r in got) == among
+    for r in got:
+        want = every[r.user, r.kind, r.entity]
+        assert r[:6] == want[:6] and r.support == (want.support if r.kind == "director" else None)
