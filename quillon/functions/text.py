@@ -34,13 +34,13 @@ def sentences(text: Column) -> Column:
 
 
 def hook(text: Column, limit: int = 180) -> Column:
-    """The first sentence, cut at a word's end where it is longer than the limit."""
-    return fit(F.coalesce(F.element_at(sentences(text), 1), F.lit("")), limit)
+    """The first sentence, cut at a word's end where it is longer than the limit; of a blank text nothing, of a null one null."""
+    return fit(F.coalesce(F.get(sentences(text), 0), F.when(text.isNotNull(), "")), limit)
 
 
 def fit(text: Column, limit: int) -> Column:
     """At most `limit` characters, cut back to a word's end."""
-    cut = F.regexp_replace(F.substring(text, 1, limit), r"\s+\S*$", "")
+    cut = F.regexp_replace(F.substring(text, 1, limit), r"\s+\S*\z", "")  # $ would also match before a last line break
     return F.when(F.length(text) <= limit, text).otherwise(cut)
 
 

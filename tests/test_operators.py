@@ -226,3 +226,19 @@ def test_affinities_of_what_is_asked_for(spark):
     for r in got:
         want = every[r.user, r.kind, r.entity]
         assert r[:6] == want[:6] and r.support == (want.support if r.kind == "director" else None)
+
+
+def test_hooks_of_odd_texts_are_those_of_the_sql(spark, tmp_path):
+    import duckdb
+    import pandas as pd
+
+    from quillon.plans import catalogue
+
+    broken = "word " * 34 + "last line\nnext " + "word " * 9  # the cut falls behind a line break
+    texts = ["", "   ", None, "One. Two", "One two", "\n\n", broken, "x" * 200, "One!\n", ("a " * 89) + "b\n" + "c" * 9]
+    docs = pd.DataFrame({"doc_id": range(len(texts)), "text": texts})
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.register("documents", docs)
+    want = {int(r[0]): r[1] for r in con.sql(catalogue.ORACLE_SQL["sc10_hooks"]).fetchall()}
+    assert {r.doc_id: r.hook for r in catalogue.QUERIES["sc10_hooks"](spark, str(tmp_path)).collect()} == want
