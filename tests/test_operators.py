@@ -242,3 +242,11 @@ def test_hooks_of_odd_texts_are_those_of_the_sql(spark, tmp_path):
     con.register("documents", docs)
     want = {int(r[0]): r[1] for r in con.sql(catalogue.ORACLE_SQL["sc10_hooks"]).fetchall()}
     assert {r.doc_id: r.hook for r in catalogue.QUERIES["sc10_hooks"](spark, str(tmp_path)).collect()} == want
+
+
+def test_sides_of_a_user_are_groups_of_their_own(spark):
+    rng = np.random.default_rng(4)
+    rows = [(1, i, 1.0 if i < 40 else -1.0 if i < 80 else -0.2, 1.0, (np.eye(4)[i % 2] + 0.1 * rng.normal(size=4)).tolist()) for i in range(120)]
+    out = taste.modes(spark.createDataFrame(rows, "user long, item long, z double, mass double, v array<double>"))
+    assert sorted((r.polarity, r["mode"], r.members) for r in out.collect()) == [("dislike", 0, 20), ("dislike", 1, 20), ("like", 0, 20), ("like", 1, 20)]
+    assert "side" in out._jdf.queryExecution().optimizedPlan().toString()
