@@ -198,7 +198,7 @@ def entities(spark, sf) -> DataFrame:
 @query("tm10_affinities", T.SQL + ENTITIES + """ SELECT user, kind, entity, n, round(raw / (n + kappa), 6) AS affinity, round(ln(mine / (1 - mine)) - ln(base / (1 - base)), 6) AS exposure FROM (
   SELECT *, greatest(1e-6, least(1 - 1e-6, (n + kappa * base) / (watched + kappa))) AS mine FROM (SELECT *, least(greatest(corpus_n, 0.5) / total, 1 - 1e-6) AS base FROM aff))""")
 def affinities(spark, sf):
-    out = A.affinities(A.signals(T.history(spark, sf)), entities(spark, sf))
+    out = A.affinities(A.signals(T.history(spark, sf)), entities(spark, sf), support=False)
     return out.select("user", "kind", "entity", "n", F.round("affinity", 6).alias("affinity"), F.round("exposure", 6).alias("exposure"))
 
 

@@ -19,7 +19,7 @@ from quillon.session import table
     SELECT *, 'best' AS side, row_number() OVER (PARTITION BY user, kind ORDER BY affinity DESC, entity) AS place FROM a UNION ALL
     SELECT *, 'worst', row_number() OVER (PARTITION BY user, kind ORDER BY affinity, entity) FROM a) WHERE place <= 8""")
 def best_and_worst(spark, sf):
-    own = A.affinities(A.signals(T.history(spark, sf)), entities(spark, sf)).select("user", "kind", "entity", F.round("affinity", 9).alias("affinity"))
+    own = A.affinities(A.signals(T.history(spark, sf)), entities(spark, sf), support=False).select("user", "kind", "entity", F.round("affinity", 9).alias("affinity"))
     return S.ends(own, ["user", "kind"], "affinity", "entity", 8).select("user", "kind", "entity", F.round("affinity", 6).alias("affinity"), "side", F.col("place").cast("long").alias("place"))
 
 

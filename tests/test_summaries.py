@@ -35,3 +35,10 @@ def test_ends_and_ratios(spark):
     ends = {(r.side, r.place): r["name"] for r in S.ends(rows.where("g = 'g'"), ["g"], "v", "name", 2).select("side", "place", F.col("name")).collect()}
     assert ends == {("best", 1): "b", ("best", 2): "c", ("worst", 1): "a", ("worst", 2): "b"}
     assert sorted((r["name"], r.ratio) for r in S.ratio_to_median(rows, "v", ["g"]).collect()) == [("a", 1 / 3), ("b", 1.0), ("c", 1.0), ("z", 1.0)]
+
+
+def test_affinities_without_support_are_not_sorted(spark):
+    from quillon.plans import catalogue
+
+    plan = catalogue.QUERIES["tm10_affinities"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "abs(z" not in plan  # the order of a support's items
